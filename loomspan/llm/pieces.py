@@ -15,11 +15,12 @@ WS = r"\t-\r \x85\xa0  -     　"
 WORDS = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 )
+PLAIN_MARKS = frozenset(".,;:!?")
 CLEAN_SPACE = regex.compile(rf"(?<=[^{WS}]) (?=[^{WS}])")
 
 #: Entries of one cache generation; two are held, so what is in use survives a change.
-PIECES_KEPT = 200_000
-WORDS_KEPT = 200_000
+PIECES_KEPT = 400_000
+WORDS_KEPT = 400_000
 LONGEST_KEPT = 64
 
 
@@ -59,19 +60,27 @@ class PieceEncoder:
         for mark, code in self.special.items():
             if mark in text:
                 return code.join(self.whole(x) for x in text.split(mark))
-        out = []
-        words = self.words
-        for w in WORDS.findall(text):
-            code = words.get(w)
-            if code is None:
-                code = self.old_words.get(w) or self.encode_word(w)
-                if len(w) <= LONGEST_KEPT:
-                    if len(words) >= WORDS_KEPT:
-                        self.old_words, self.words = words, {}
-                        words = self.words
-                    words[w] = code
-            out.append(code)
-        return b"".join(out)
+        return b"".join([self.words.get(w) or self._word(w) for w in WORDS.findall(text)])
+
+    def spaced_piece(self, piece: str) -> bytes:
+        """Ids of a space and a piece; letters with at most one mark behind them need no pattern."""
+        if piece.isalpha():
+            return self.encode_word(" " + piece)
+        body, last = piece[:-1], piece[-1]
+        if body.isalpha() and last in PLAIN_MARKS:
+            return self.whole_word(" " + body) + self.whole_word(last)
+        return self.whole(" " + piece)
+
+    def whole_word(self, w: str) -> bytes:
+        return self.words.get(w) or self._word(w)
+
+    def _word(self, w: str) -> bytes:
+        code = self.old_words.get(w) or self.encode_word(w)
+        if len(w) <= LONGEST_KEPT:
+            if len(self.words) >= WORDS_KEPT:
+                self.old_words, self.words = self.words, {}
+            self.words[w] = code
+        return code
 
 
 class _UncleanError(Exception):
@@ -88,7 +97,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _UncleanError
-        code = self.old.get(piece) or self.owner.whole(" " + piece)
+        code = self.old.get(piece) or self.owner.spaced_piece(piece)
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= PIECES_KEPT:
                 self.old = dict(self)

@@ -29,6 +29,18 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(write_shards(table(spark, sf_dir, "documents"), vocabulary(), scratch))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op8"), width=3, percent=85)
+
+
 def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.bpe_stream import encode_decode_digests
 
@@ -38,12 +50,48 @@ def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_output": op2_token_output,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_neardup": op8_neardup,
     "op10_bpe_stream": op10_bpe_stream,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x00-/:-`{{-\\x7f]+'), lambda x: x <> '')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": f"""
+        with d as (select doc_id, {_WORDS} as w from documents),
+        b as (select item_id, {_WORDS} as w from benchmark),
+        bl as (select item_id, w, least(len(w), 10) as n from b where len(w) > 0),
+        wins as (select distinct item_id, n, array_to_string(list_slice(w, s, s + n - 1), ' ') as g
+                 from bl, lateral (select unnest(generate_series(1, len(w) - n + 1)) as s)),
+        lens as (select distinct n from wins),
+        dg as (select doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') as g
+               from d, lens, lateral (select unnest(generate_series(1, len(w) - n + 1)) as s) where len(w) >= n),
+        m as (select doc_id, n, s, item_id from dg join wins using (n, g)),
+        hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(s, s + n - 1)) as p from m) group by doc_id),
+        it as (select doc_id, count(distinct item_id) as n_items,
+               sha256(string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar))) as items_sha256 from m group by doc_id)
+        select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+               cast(coalesce(n_items, 0) as bigint) as n_items, coalesce(items_sha256, sha256('')) as items_sha256,
+               coalesce(n_hit, 0) > 0 as contaminated
+        from d left join hit using (doc_id) left join it using (doc_id)
+    """,
+    "op8_neardup": f"""
+        with recursive w as (select doc_id, list_filter(regexp_split_to_array({_LOWER}, '[ \\t-\\r]+'), lambda x: x <> '') as w from documents),
+        s as (select doc_id, list_distinct(list_transform(generate_series(1, greatest(len(w) - 2, 1)),
+              lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) as s from w where len(w) > 0),
+        e as (select doc_id, len(s) as n, unnest(s) as g from s),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb
+              from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+        l as (select a, b from p where 100 * c >= 85 * (na + nb - c)),
+        u as (select a as x, b as y from l union select b, a from l),
+        r as (select doc_id as x, doc_id as y from documents union select r.x, u.y from r join u on r.y = u.x)
+        select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, c.component_id, w.doc_id = c.component_id as kept
+        from w left join (select doc_id, len(s) as n from s) n using (doc_id)
+        join (select x as doc_id, min(y) as component_id from r group by x) c using (doc_id)
+    """,
     "op1_exact_dedup": f"""
         with t as (select doc_id, sha256({_LOWER}) as text_sha256 from documents),
         g as (select text_sha256, max(doc_id) as keep_id, cast(count(*) as bigint) as group_size from t group by text_sha256)

@@ -166,11 +166,13 @@ def library_encoder(path: str) -> PieceEncoder:
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    letters = {b: ch for b, ch in byte_letters().items()}
+    letters = byte_letters()
     model = library.model
 
     def word(text: str) -> bytes:
-        ids = [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(letters))]
+        plain = text.isascii() and text.isprintable()
+        shown = text.replace(" ", letters[32]) if plain else text.encode().decode("latin-1").translate(letters)
+        ids = [t.id for t in model.tokenize(shown)]
         return struct.pack(f"<{len(ids)}H", *ids)
 
     special = {str(t.content): i.to_bytes(2, "little") for i, t in library.get_added_tokens_decoder().items()}
