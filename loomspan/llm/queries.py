@@ -29,18 +29,37 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(write_shards(table(spark, sf_dir, "documents"), vocabulary(), scratch))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.secret_scan import secrets
+
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.decontaminate import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op8"), width=3, percent=85)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"), Scratch(spark, "op9"))
+
+
 def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.bpe_stream import encode_decode_digests
 
@@ -50,8 +69,11 @@ def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_output": op2_token_output,
+    "op4_secret_scan": op4_secret_scan,
     "op6_decontaminate": op6_decontaminate,
+    "op7_toxicity": op7_toxicity,
     "op8_neardup": op8_neardup,
+    "op9_url_filter": op9_url_filter,
     "op10_bpe_stream": op10_bpe_stream,
 }
 
