@@ -289,48 +289,43 @@ def encode_text(coder: Transducer, text: str) -> bytes:
     return b"".join(out)
 
 
-def _digest_batches(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _loaded(path)
-        for batch in batches:
-            docs, texts = batch.column(0), batch.column(1)
-            rows = []
-            for text in texts:
-                ids = np.frombuffer(encode_text(coder, text.as_py() or ""), "<u2")
-                decoder, digest = Decoder(coder.merges), hashlib.sha256()
-                for at in range(0, len(ids), CHUNK):
-                    digest.update(decoder.feed(ids[at : at + CHUNK].tolist()).encode())
-                digest.update(decoder.finish().encode())
-                rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), digest.hexdigest()))
-            n, ids_sha, text_sha = zip(*rows) if rows else ((), (), ())
-            yield pa.record_batch(
-                [docs, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+_DIGESTS = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
-    return run
 
+def _round_trip(coder: Transducer, text: str) -> tuple[np.ndarray, int, str, str]:
+    """Ids, their number and digest, and the digest of the text decoded from them, block by block."""
+    ids = np.frombuffer(encode_text(coder, text), "<u2")
+    decoder, digest = Decoder(coder.merges), hashlib.sha256()
+    for at in range(0, len(ids), CHUNK):
+        digest.update(decoder.feed(ids[at : at + CHUNK].tolist()).encode())
+    digest.update(decoder.finish().encode())
+    wide = ids.astype("<u4")
+    return wide, len(ids), hashlib.sha256(wide.tobytes()).hexdigest(), digest.hexdigest()
 
-def _token_batches(path: str):
+
+def _digest_batches(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _loaded(path)
         for batch in batches:
-            docs, texts = batch.column(0), batch.column(1)
-            for at in range(0, len(docs), 256):
-                ids = [np.frombuffer(encode_text(coder, t.as_py() or ""), "<u2").astype("i4") for t in texts[at : at + 256]]
-                yield pa.record_batch([docs[at : at + 256], pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for at in range(0, batch.num_rows, 256):
+                rows = [_round_trip(coder, t.as_py() or "") for t in batch.column(1)[at : at + 256]]
+                cols = [batch.column(0)[at : at + 256]]
+                cols += [pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int64()), (2, pa.string()), (3, pa.string()))]
+                if with_ids:
+                    cols.append(pa.array([r[0].astype("i4") for r in rows], pa.list_(pa.int32())))
+                yield pa.record_batch(cols, names=_DIGESTS + ["ids"] * with_ids)
 
     return run
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id and ids (array of int).
+    """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256 and ids (array of int).
 
     Null and empty texts have an empty array. Special strings of the vocabulary
     stand for their ids. Texts of any length are streamed in chunks; rows that
     repeat give equal rows; an empty table gives an empty result.
     """
-    return _doc_text(docs, text).mapInArrow(_token_batches(vocabulary), "doc_id long, ids array<int>")
+    return _coded(docs, vocabulary, text, True)
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -349,10 +344,13 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
 
 
 def encode_decode_digests(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_tokens, ids_sha256 and decoded_sha256; null counts as empty."""
-    return _doc_text(docs, text).mapInArrow(
-        _digest_batches(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    """The same without ids."""
+    return _coded(docs, vocabulary, text, False)
+
+
+def _coded(docs: DataFrame, vocabulary: str, text: str, with_ids: bool) -> DataFrame:
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _doc_text(docs, text).mapInArrow(_digest_batches(vocabulary, with_ids), schema)
 
 
 def _doc_text(docs: DataFrame, text: str) -> DataFrame:

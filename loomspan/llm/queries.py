@@ -29,12 +29,24 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(write_shards(table(spark, sf_dir, "documents"), vocabulary(), scratch))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.license_scan import licences
+
+    return licences(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.secret_scan import secrets
 
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"), Scratch(spark, "op5"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.decontaminate import contamination
 
@@ -69,7 +81,9 @@ def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_output": op2_token_output,
+    "op3_license_scan": op3_license_scan,
     "op4_secret_scan": op4_secret_scan,
+    "op5_html_extract": op5_html_extract,
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_neardup": op8_neardup,

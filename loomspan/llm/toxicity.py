@@ -224,3 +224,15 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``THRESHOLD``; nulls count as empty texts."""
+    at, field = docs.columns.index(text), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = model.matcher()
+        for batch in batches:
+            yield batch.filter(pa.array([judge(t.as_py() or "") < THRESHOLD for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, field)
