@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.operators import changes
+from loomspan.operators import relational as rel
+from loomspan.operators.mdindex import MDIndex
+from loomspan.plans.sql import run_select
 from loomspan.session import table
+from loomspan.sources import generator
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,3 +49,198 @@ def join_filter_groupby(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.expr("sum(l_linenumber) div count(l_linenumber)").alias("int_avg_line"),
         )
     )
+
+
+def _simple(name: str, sql: str, f: Callable[[Callable[[str], DataFrame]], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: f(lambda t: table(spark, sf_dir, t))
+    ORACLE_SQL[name] = sql
+
+
+_simple("scan_nation", "select * from nation", lambda t: t("nation"))
+_simple(
+    "project_alias",
+    "select c_custkey as id, c_name as nm from customer",
+    lambda t: rel.project(t("customer"), [("c_custkey", "id"), ("c_name", "nm")]),
+)
+for _name, _op in (("eq", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
+    _simple(f"filter_{_name}", f"select * from part where p_size {_op} 25", lambda t, op=_op: rel.filter_compare(t("part"), "p_size", op, 25))
+_simple("filter_literal_left", "select * from part where 10 > p_size", lambda t: t("part").where(F.lit(10) > F.col("p_size")))
+_simple(
+    "filter_string",
+    "select * from customer where c_mktsegment = 'BUILDING'",
+    lambda t: rel.filter_compare(t("customer"), "c_mktsegment", "=", "BUILDING"),
+)
+_simple("filter_string_order", "select * from nation where n_name >= 'M'", lambda t: rel.filter_compare(t("nation"), "n_name", ">=", "M"))
+_simple("filter_true", "select * from region", lambda t: rel.filter_all(t("region")))
+_simple(
+    "filter_and",
+    "select p_partkey, p_size from part where p_size > 10 and p_size <= 20 and p_partkey < 1000",
+    lambda t: t("part").where((F.col("p_size") > 10) & (F.col("p_size") <= 20) & (F.col("p_partkey") < 1000)).select("p_partkey", "p_size"),
+)
+_simple(
+    "filter_or",
+    "select p_partkey, p_size from part where p_size = 1 or p_size = 50 or (p_size > 20 and p_partkey < 50)",
+    lambda t: t("part").where((F.col("p_size") == 1) | (F.col("p_size") == 50) | ((F.col("p_size") > 20) & (F.col("p_partkey") < 50))).select("p_partkey", "p_size"),
+)
+_JOIN = "select o_orderkey, l_linenumber, o_totalprice, l_quantity from orders join lineitem on {} where o_totalprice > 100000"
+
+
+def _orders_lines(t: Callable[[str], DataFrame], hint: str | None = None, reverse: bool = False) -> DataFrame:
+    left, right, on = t("orders"), t("lineitem"), ("o_orderkey", "=", "l_orderkey")
+    if reverse:
+        left, right, on = right, left, ("l_orderkey", "=", "o_orderkey")
+    return rel.join(left, right, on, hint).where("o_totalprice > 100000").select("o_orderkey", "l_linenumber", "o_totalprice", "l_quantity")
+
+
+_simple("join_equi", _JOIN.format("o_orderkey = l_orderkey"), _orders_lines)
+_simple("join_equi_reversed", _JOIN.format("l_orderkey = o_orderkey"), lambda t: _orders_lines(t, reverse=True))
+for _hint, _name in (("broadcast", "join_broadcast"), ("shuffle_hash", "join_shuffle_hash"), ("merge", "join_sort_merge")):
+    _simple(
+        _name,
+        "select n_name, r_name from nation join region on n_regionkey = r_regionkey",
+        lambda t, h=_hint: rel.join(t("nation"), t("region"), ("n_regionkey", "=", "r_regionkey"), h).select("n_name", "r_name"),
+    )
+_simple(
+    "join_diff_ordinals",
+    "select n_nationkey, n_name, c_custkey from nation join customer on n_nationkey = c_nationkey",
+    lambda t: rel.join(t("nation"), t("customer"), ("n_nationkey", "=", "c_nationkey")).select("n_nationkey", "n_name", "c_custkey"),
+)
+for _name, _op in (("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">="), ("ne", "<>")):
+    _simple(
+        f"join_theta_{_name}",
+        f"select n_nationkey, r_regionkey from nation join region on n_regionkey {_op} r_regionkey",
+        lambda t, op=_op: rel.join(t("nation"), t("region"), ("n_regionkey", op, "r_regionkey")).select("n_nationkey", "r_regionkey"),
+    )
+_simple(
+    "join_three_way",
+    "select c_custkey, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
+    lambda t: rel.join(rel.join(t("customer"), t("nation"), ("c_nationkey", "=", "n_nationkey")), t("region"), ("n_regionkey", "=", "r_regionkey")).select("c_custkey", "n_name", "r_name"),
+)
+_simple(
+    "join_self",
+    "select a.n_nationkey as left_key, b.n_nationkey as right_key from nation a join nation b on a.n_regionkey = b.n_regionkey",
+    lambda t: rel.join(
+        rel.project(t("nation"), [("n_nationkey", "left_key"), ("n_regionkey", "left_region")]),
+        rel.project(t("nation"), [("n_nationkey", "right_key"), ("n_regionkey", "right_region")]),
+        ("left_region", "=", "right_region"),
+    ).select("left_key", "right_key"),
+)
+_ONE = {"count": "cast(count(p_size) as bigint)", "sum": "cast(sum(p_size) as bigint)", "min": "min(p_size)", "max": "max(p_size)", "avg": "cast(sum(p_size) // count(p_size) as bigint)"}
+for _name, _sql in _ONE.items():
+    _simple(f"agg_{'int_avg' if _name == 'avg' else _name}", f"select {_sql} as v from part", lambda t, n=_name: rel.aggregate(t("part"), [], [(n, "p_size", "v")]))
+_simple(
+    "agg_string_minmax",
+    "select min(n_name) as lo, max(n_name) as hi, cast(count(n_name) as bigint) as n from nation",
+    lambda t: rel.aggregate(t("nation"), [], [("min", "n_name", "lo"), ("max", "n_name", "hi"), ("count", "n_name", "n")]),
+)
+_simple(
+    "agg_empty_input",
+    "select cast(count(p_size) as bigint) as n, cast(sum(p_size) as bigint) as s, max(p_size) as hi from part where p_size < 0",
+    lambda t: rel.aggregate(t("part").where("p_size < 0"), [], [("count", "p_size", "n"), ("sum", "p_size", "s"), ("max", "p_size", "hi")]),
+)
+_simple(
+    "agg_negative_int_avg",
+    "select cast(sum(-p_size) // count(p_size) as bigint) as v from part",
+    lambda t: rel.aggregate(t("part").select((-F.col("p_size")).alias("m")), [], [("avg", "m", "v")]),
+)
+_simple(
+    "groupby_one",
+    "select c_mktsegment, cast(count(c_custkey) as bigint) as n from customer group by c_mktsegment",
+    lambda t: rel.aggregate(t("customer"), ["c_mktsegment"], [("count", "c_custkey", "n")]),
+)
+_simple(
+    "groupby_multi",
+    "select l_returnflag, l_linestatus, cast(count(l_orderkey) as bigint) as n from lineitem group by l_returnflag, l_linestatus",
+    lambda t: rel.aggregate(t("lineitem"), ["l_returnflag", "l_linestatus"], [("count", "l_orderkey", "n")]),
+)
+_simple(
+    "groupby_multi_aggs",
+    """select l_returnflag, cast(count(l_linenumber) as bigint) as n, cast(sum(l_linenumber) as bigint) as s, min(l_shipdate) as lo,
+       max(l_quantity) as hi, cast(sum(l_linenumber) // count(l_linenumber) as bigint) as m from lineitem group by l_returnflag""",
+    lambda t: rel.aggregate(
+        t("lineitem"),
+        ["l_returnflag"],
+        [("count", "l_linenumber", "n"), ("sum", "l_linenumber", "s"), ("min", "l_shipdate", "lo"), ("max", "l_quantity", "hi"), ("avg", "l_linenumber", "m")],
+    ),
+)
+_simple("groupby_keys_only", "select distinct o_orderstatus, o_orderpriority from orders", lambda t: rel.aggregate(t("orders"), ["o_orderstatus", "o_orderpriority"], []))
+_P3 = ["l_linenumber", "l_partkey", "l_suppkey"]
+_L = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+def _lines(t: Callable[[str], DataFrame]) -> DataFrame:
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+_simple("md_eq_2d", "select * from part where p_size = 7 and p_partkey = 1", lambda t: MDIndex(t("part"), ["p_size", "p_partkey"]).eq((7, 1)))
+_simple("md_eq_dups", "select * from part where p_size = 7", lambda t: MDIndex(t("part"), ["p_size"]).eq((7,)))
+_simple(
+    "md_range_2d",
+    "select * from part where p_size between 10 and 20 and p_partkey between 50 and 900",
+    lambda t: MDIndex(t("part"), ["p_size", "p_partkey"]).range((10, 50), (20, 900)),
+)
+_simple(
+    "md_range_3d",
+    f"select {_L} from lineitem where l_linenumber between 2 and 4 and l_partkey between 100 and 600 and l_suppkey between 5 and 50",
+    lambda t: MDIndex(_lines(t), _P3, "R").range((2, 100, 5), (4, 600, 50)),
+)
+_simple(
+    "md_knn_2d",
+    "select p_partkey, p_size from part order by (p_size - 25) * (p_size - 25) + (p_partkey - 500) * (p_partkey - 500), p_size, p_partkey limit 10",
+    lambda t: MDIndex(t("part").select("p_partkey", "p_size"), ["p_size", "p_partkey"]).knn((25, 500), 10),
+)
+_simple(
+    "md_knn_3d",
+    f"""select {_L} from lineitem order by (l_linenumber - 3) * (l_linenumber - 3) + (l_partkey - 300) * (l_partkey - 300) + (l_suppkey - 20) * (l_suppkey - 20),
+        l_linenumber, l_partkey, l_suppkey, l_orderkey limit 5""",
+    lambda t: MDIndex(_lines(t), _P3, "R").knn((3, 300, 20), 5),
+)
+_simple("md_knn_k_gt_n", "select * from region", lambda t: MDIndex(t("region"), ["r_regionkey"]).knn((2,), 1000))
+_simple(
+    "md_knn_join",
+    """select point_id, cast(rank as int) as rank, d2, p_partkey, p_size from (
+         select s_suppkey as point_id, p_partkey, p_size, cast((p_size - s_nationkey) * (p_size - s_nationkey) + (p_partkey - s_suppkey) * (p_partkey - s_suppkey) as bigint) as d2,
+         row_number() over (partition by s_suppkey order by (p_size - s_nationkey) * (p_size - s_nationkey) + (p_partkey - s_suppkey) * (p_partkey - s_suppkey), p_size, p_partkey) as rank
+         from supplier cross join part) where rank <= 3""",
+    lambda t: MDIndex(t("part").select("p_partkey", "p_size"), ["p_size", "p_partkey"]).knn_join(
+        t("supplier").select(F.col("s_suppkey").alias("point_id"), F.col("s_nationkey").alias("p_size"), F.col("s_suppkey").alias("p_partkey")), 3
+    ),
+)
+_simple(
+    "md_exists",
+    "select count(*) > 0 as found from part where p_size = 7 and p_partkey = 1",
+    lambda t: MDIndex(t("part"), ["p_size", "p_partkey"]).eq((7, 1)).limit(1).agg((F.count("*") > 0).alias("found")),
+)
+_simple("md_without", "select * from part where not (p_size = 7)", lambda t: MDIndex(t("part"), ["p_size"]).without((7,)))
+
+
+def _log(t: Callable[[str], DataFrame]) -> DataFrame:
+    op = F.when(F.col("event_id") % 7 == 0, "D").otherwise("U").alias("op")
+    return t("events").select("user_id", F.col("event_id").alias("ts"), op, "event_type")
+
+
+_LOG = "(select user_id, event_id as ts, case when event_id % 7 = 0 then 'D' else 'U' end as op, event_type from events)"
+_LAST = "row_number() over (partition by user_id order by ts desc) = 1"
+_simple(
+    "changes_as_of",
+    f"select user_id, ts, event_type from {_LOG} where ts <= 800 qualify {_LAST} and op <> 'D'",
+    lambda t: changes.as_of(_log(t), ["user_id"], 800),
+)
+_simple("changes_diff", f"select * from {_LOG} where ts >= 100 and ts < 300", lambda t: changes.diffs(_log(t), 100, 300))
+_simple(
+    "changes_compact",
+    f"(select * from {_LOG} where ts <= 500 qualify {_LAST}) union all select * from {_LOG} where ts > 500",
+    lambda t: changes.compact(_log(t), ["user_id"], 500),
+)
+_simple(
+    "changes_take_last",
+    f"select user_id, event_type from {_LOG} qualify {_LAST}",
+    lambda t: changes.merge(_log(t), ["user_id"], "event_type"),
+)
+_SQL = "select n.n_name, count(c.c_custkey) as customers, avg(c.c_custkey) as mean_key from customer as c join nation as n on n.n_nationkey = c.c_nationkey where c.c_custkey > 100 and (n.n_name <> 'FRANCE' or c.c_custkey < 500) group by n.n_name"
+_simple(
+    "sql_facade",
+    _SQL.replace("avg(c.c_custkey)", "cast(sum(c.c_custkey) // count(c.c_custkey) as bigint)").replace("count(c.c_custkey) as", "cast(count(c.c_custkey) as bigint) as"),
+    lambda t: run_select(_SQL, t),
+)
+QUERIES["generated_table"] = lambda spark, sf_dir: generator.generate(spark, 1000)
