@@ -13,7 +13,8 @@ the similarity threshold exceeds the distance with a probability of at most
 Equal sets are one node from the start, so copies never meet pairwise. A
 bucket does not emit its pairs either: its members are compared with one
 centre, verified links are joined to components, and only members that are
-still in different components are compared further.
+still in different components are compared further: as pairs where they are
+few, else in blocks of sets of bounded size.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ CHUNK = 5
 MISS = 1e-5
 #: Ids that may be broadcast to filter a scan: 16 MB at most.
 BROADCAST_IDS = 1_000_000
-#: A bucket may emit this many untested pairs a member at once; beyond it a centre is tried first.
+#: A bucket may emit this many pairs a member; beyond it its nodes are compared in blocks of sets.
 PAIRS_A_MEMBER = 32
-CENTRE_ROUNDS = 4
+#: Shingles of one block of crowded nodes.
+BLOCK_SHINGLES = 200_000
 
 
 @lru_cache(maxsize=16)
@@ -160,58 +162,87 @@ def _confirm(percent: int):
     return run
 
 
-def _bucket_pairs(distance: int, everything: bool):
+def _bucket_pairs(distance: int):
     """Per bucket, pairs of nodes in different components within ``distance``.
 
-    All of them, or, where they are many, the centre's pairs and a row of nulls
-    that says the bucket is not done. The centre is the node whose signature is
-    nearest to the usual symbol at each place.
+    A bucket in which they are many gives its nodes instead, as (node, null,
+    least node of the bucket); those are compared in blocks of sets.
     """
 
-    def pairs(node: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        budget, found = (1 << 62 if everything else PAIRS_A_MEMBER * len(node)), []
-        for at in range(len(node) - 1):
-            far = (sig[at + 1 :] != sig[at]).sum(axis=1)
-            hit = np.flatnonzero((far <= distance) & (comp[at + 1 :] != comp[at])) + at + 1
-            budget -= len(hit)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(batches, 1):
+            node, comp = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
+            sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), -1)
+            budget, found = PAIRS_A_MEMBER * len(node), []
+            for at in range(len(node) - 1):
+                far = (sig[at + 1 :] != sig[at]).sum(axis=1)
+                hit = np.flatnonzero((far <= distance) & (comp[at + 1 :] != comp[at])) + at + 1
+                budget -= len(hit)
+                if budget < 0:
+                    break
+                found.append((np.minimum(node[at], node[hit]), np.maximum(node[at], node[hit])))
             if budget < 0:
-                break
-            found.append((np.full(len(hit), node[at]), node[hit]))
-        else:
-            yield from found
-            return
-        usual = np.array([np.bincount(sig[:, k]).argmax() for k in range(sig.shape[1])], np.uint16)
-        centre = int((sig != usual).sum(axis=1).argmin())
-        hit = np.flatnonzero(((sig != sig[centre]).sum(axis=1) <= distance) & (comp != comp[centre]))
-        yield np.full(len(hit), node[centre]), node[hit]
-        yield None, None
+                least = pa.array(np.full(len(node), node.min()))
+                yield pa.record_batch([pa.array(node), pa.nulls(len(node), pa.int64()), least], names=["a", "b", "hub"])
+            else:
+                for a, b in found:
+                    if len(a):
+                        yield pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "hub"])
+
+    return run
+
+
+def _block_links(percent: int):
+    """Per pair of blocks (cluster, i, j), links between nodes of different components, by exact counts.
+
+    Shingles that occur once in the two blocks can not be shared; the others
+    become bits. A link that only repeats what earlier links of the task join
+    is not sent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _by_key(batches):
-            node = np.array([r[0] for r in rows], np.int64)
-            comp = np.array([r[1] for r in rows], np.int64)
-            sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), -1)
-            for a, b in pairs(node, comp, sig):
-                if a is None:
-                    yield pa.record_batch([pa.array([None], pa.int64()), pa.array([None], pa.int64())], names=["a", "b"])
-                elif len(a):
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        for rows in _by_key(batches, 3):
+            i, j = rows[0][1], rows[0][2]
+            node, comp, block = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+            sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+            size = np.array([len(x) for x in sets])
+            words, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[at]
+            packed = np.zeros((len(rows), int((times > 1).sum()) // 64 + 1), np.uint64)
+            owner, shared = np.repeat(np.arange(len(rows)), size), place >= 0
+            bit = np.uint64(1) << (place[shared] & 63).astype(np.uint64)
+            np.bitwise_or.at(packed, (owner[shared], place[shared] >> 6), bit)
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            joined = comp.copy()
+            us, vs = [], []
+            for x in left:
+                others = right[joined[right] != joined[x]]
+                if i == j:
+                    others = others[others > x]
+                both = np.bitwise_count(packed[others] & packed[x]).sum(axis=1, dtype=np.int64)
+                for y in others[100 * both >= percent * (size[others] + size[x] - both)]:
+                    if joined[x] != joined[y]:
+                        us.append(node[x])
+                        vs.append(node[y])
+                        joined[joined == joined[y]] = joined[x]
+            if us:
+                yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
-    """Groups rows (key, node, comp, sig) that come sorted by key."""
+def _by_key(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+    """Groups rows that come sorted by their first ``width`` columns."""
     now, rows = None, []
     for batch in batches:
-        for key, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != now:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:width] != now:
                 if rows:
-                    yield now, rows
-                now, rows = key, []
-            rows.append(rest)
+                    yield rows
+                now, rows = row[:width], []
+            rows.append(row)
     if rows:
-        yield now, rows
+        yield rows
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -258,28 +289,42 @@ def _components(rows: DataFrame, nodes: DataFrame, scratch: Scratch, width: int,
     tested = scratch.save(_within(pairs, sigs, distance), "pairs-0")
     links = scratch.save(_verified(tested, rows, width, percent), "links-0")
     component = connected_components(links, scratch)
-    everything = False
-    for turn in range(1, 100):
-        placed = bucket.select("key", "node").join(component, "node", "left")
-        placed = placed.select("key", "node", F.coalesce("component", "node").alias("comp"))
-        open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        members = placed.join(open_.select("key"), "key", "left_semi").join(sigs, "node").select("key", "node", "comp", "sig")
-        grouped = members.repartition("key").sortWithinPartitions("key")
-        found = grouped.mapInArrow(_bucket_pairs(distance, everything), "a long, b long").distinct()
-        fresh = scratch.save(found.join(tested, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        crowded = not fresh.where("a is null").isEmpty()
-        fresh = fresh.where("a is not null")
-        if not fresh.isEmpty():
-            more = scratch.save(_verified(fresh, rows, width, percent), f"links-{turn}")
-            tested, links = tested.unionByName(fresh), links.unionByName(more)
-            if not more.isEmpty():
-                component = connected_components(links, scratch)
-        elif crowded:
-            everything = True  # no centre has anything new to say: whatever is left is compared
-        if not crowded:
-            break
-        everything = everything or turn >= CENTRE_ROUNDS
-    return component
+    placed = bucket.join(component, "node", "left").select("key", "centre", "node", F.coalesce("component", "node").alias("comp"))
+    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    members = placed.join(open_, "key", "left_semi").join(sigs, "node").select("key", "node", "comp", "sig")
+    grouped = members.repartition("key").sortWithinPartitions("key")
+    found = scratch.save(grouped.mapInArrow(_bucket_pairs(distance), "a long, b long, hub long").distinct(), "pairs-1")
+    fresh = scratch.save(found.where("b is not null").select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs-2")
+    crowd = found.where("b is null")
+    more = scratch.save(_verified(fresh, rows, width, percent), "links-1")
+    if not crowd.isEmpty():
+        clusters = connected_components(crowd.select(F.col("a").alias("u"), F.col("hub").alias("v")), scratch)
+        crowd = crowd.select(F.col("a").alias("node")).distinct()
+        more = more.unionByName(scratch.save(_compared(crowd, clusters, component, rows, width, percent), "links-2"))
+    return component if more.isEmpty() else connected_components(links.unionByName(more), scratch)
+
+
+def _compared(crowd: DataFrame, clusters: DataFrame, component: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links among crowded nodes. Nodes of a cluster are dealt to blocks, and every pair of blocks is compared.
+
+    Clusters are components of nodes that share crowded buckets, so no candidate
+    pair is in two of them. A block holds about ``BLOCK_SHINGLES``, so
+    a hot cluster becomes many tasks of bounded size, and sets travel once per
+    block, never once per pair.
+    """
+    ids = crowd.select(F.col("node").alias("doc_id"))
+    wanted = F.broadcast(ids) if row_count_at_most(ids, BROADCAST_IDS) else ids
+    sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "node long, shingles binary").dropDuplicates(["node"])
+    named = crowd.join(clusters.withColumnRenamed("component", "cluster"), "node").join(component, "node", "left")
+    full = named.select("node", "cluster", F.coalesce("component", "node").alias("comp")).join(sets, "node")
+    blocks = full.groupBy("cluster").agg(F.ceil(F.sum(F.length("shingles") / 8) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = full.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sent = dealt.select("*", other.alias("other")).select(
+        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block", "shingles"
+    )
+    grouped = sent.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return grouped.mapInArrow(_block_links(percent), "u long, v long")
 
 
 def _within(pairs: DataFrame, sigs: DataFrame, distance: int) -> DataFrame:
