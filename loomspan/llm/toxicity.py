@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows the models are fitted on, at most; taken by a hash of doc_id.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 #: Voters at most, and rows a voter must have voted on.
-VOTERS = 1_500
+VOTERS = 1_000
 LEAST_VOTES = 3
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.3
@@ -83,11 +83,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _count_clean(names: frozenset[str]):
+def _found(places: dict[str, int]):
+    """Rows (label, places): which of the named features each text holds, as sorted numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted(features(t.as_py() or "") & names) for t in batch.column(0)]
-            yield pa.record_batch([pa.array(rows, pa.list_(pa.string())), batch.column(1)], names=["found", "label"])
+            rows = [sorted(places[f] for f in features(t.as_py() or "") if f in places) for t in batch.column(0)]
+            yield pa.record_batch([batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["label", "places"])
 
     return run
 
@@ -106,6 +108,7 @@ def label_model(votes: np.ndarray, seen: np.ndarray, prior: float, rounds: int =
     the classes, so that a crowd of dependent voters counts once.
     """
     n, k = votes.shape
+    seen = seen.astype(float)
     given = np.where(np.isnan(seen), 0.0, np.where(seen == 1, np.log(9.0), -np.log(9.0)))
     post = np.where(np.isnan(seen), prior, np.where(seen == 1, 0.95, 0.05 * prior))
     share = np.ones(k)
@@ -115,8 +118,8 @@ def label_model(votes: np.ndarray, seen: np.ndarray, prior: float, rounds: int =
         rate1 = np.clip((votes.T @ post + 0.2) / w1, 1e-4, 1 - 1e-4)
         rate0 = np.clip((votes.T @ (1 - post) + 0.02) / w0, 1e-4, 1 - 1e-4)
         if turn % 8 == 0:
-            rest = votes - np.where(post[:, None] > 0.5, rate1, rate0)
-            rest /= np.sqrt((rest**2).sum(axis=0)) + 1e-9
+            rest = votes - np.where(post[:, None] > 0.5, rate1.astype(np.float32), rate0.astype(np.float32))
+            rest /= np.sqrt(np.einsum("ij,ij->j", rest, rest)) + 1e-9
             share = 1 / np.maximum(1.0, np.abs(rest.T @ rest).sum(axis=1) ** 0.5)
         up = share * (np.log(rate1) - np.log(rate0))
         down = share * (np.log1p(-rate1) - np.log1p(-rate0))
@@ -131,9 +134,13 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 600)
     Equal columns are fitted as one and share its weight. The step follows the
     largest eigenvalue, found by power iteration.
     """
-    cols, where = np.unique(x, axis=1, return_inverse=True)
+    first: dict[bytes, int] = {}
+    packed = np.packbits(x.T > 0, axis=1)
+    where = np.array([first.setdefault(row.tobytes(), len(first)) for row in packed])
     size = np.bincount(where)
-    cols = np.hstack([cols * np.sqrt(size), np.ones((len(x), 1))]).astype(np.float32)
+    cols = np.ones((len(x), len(size) + 1), np.float32)
+    cols[:, where] = x
+    cols[:, :-1] *= np.sqrt(size).astype(np.float32)
     n, k = cols.shape
     top = np.ones(k, np.float32)
     for _ in range(20):
@@ -179,21 +186,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample_rows: int
     if not names:
         return Model({}, float(np.log(n_pos / n_neg)))
     pos = np.array([r["pos"] for r in first], float)
-    clean = rows.where("label = 0").mapInArrow(_count_clean(frozenset(names)), "found array<string>, label int")
-    seen = {r["name"]: r["n"] for r in clean.select(F.explode("found").alias("name")).groupBy("name").agg(F.count("*").alias("n")).collect()}
-    neg = np.array([seen.get(n, 0) for n in names], float)
+    clean = rows.where("label = 0").mapInArrow(_found({n: i for i, n in enumerate(names)}), "label int, places array<int>")
+    seen = clean.select(F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("n")).collect()
+    neg = np.zeros(len(names))
+    neg[[r["place"] for r in seen]] = [r["n"] for r in seen]
     strength = _strength(pos, neg, n_pos, n_neg)
     odds = strength / np.sqrt(pos)
     best = [i for i in np.lexsort((np.array(names), -strength)) if odds[i] > 1.5][:VOTERS]
     if not best:
         return Model({}, float(np.log(n_pos / n_neg)))
     voters = {names[i]: k for k, i in enumerate(best)}
-    held = rows.mapInArrow(_count_clean(frozenset(voters)), "found array<string>, label int").collect()
-    votes = np.zeros((len(held), len(voters)), np.float64)
+    held = rows.mapInArrow(_found(voters), "label int, places array<int>").collect()
+    votes = np.zeros((len(held), len(voters)), np.float32)
     for r, row in enumerate(held):
-        for name in row["found"]:
-            votes[r, voters[name]] = 1
-    given = np.array([r["label"] for r in held], float)
+        votes[r, row["places"]] = 1
+    given = np.array([r["label"] for r in held], np.float32)
+    del held
     post, rate1, rate0 = label_model(votes, given, n_pos / (n_pos + n_neg))
     weights, bias = logistic(votes, post)
     return Model({name: float(weights[k]) for name, k in voters.items()}, bias)
