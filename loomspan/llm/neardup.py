@@ -284,7 +284,9 @@ def _components(rows: DataFrame, nodes: DataFrame, scratch: Scratch, width: int,
     keyed = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long").repartition("key")
     busy = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
     bucket = scratch.save(keyed.join(busy.select("key", "centre"), "key"), "buckets")
-    pairs = bucket.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    # A node is first held against the one centre it shares most buckets with: no more pairs than nodes.
+    shared = bucket.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
+    pairs = shared.groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("a")).select("a", F.col("node").alias("b"))
     sigs = nodes.select("node", "sig")
     tested = scratch.save(_within(pairs, sigs, distance), "pairs-0")
     links = scratch.save(_verified(tested, rows, width, percent), "links-0")
