@@ -26,7 +26,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import Scratch, row_count_at_most
@@ -38,6 +38,8 @@ MISS = 1e-5
 BROADCAST_IDS = 1_000_000
 #: A bucket may emit this many pairs a member; beyond it its nodes are compared in blocks of sets.
 PAIRS_A_MEMBER = 32
+#: Members of a bucket one task may hold; a larger bucket goes to the blocks of sets at once.
+BUCKET_ROWS = 20_000
 #: Shingles of one block of crowded nodes.
 BLOCK_SHINGLES = 200_000
 
@@ -267,7 +269,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
         .agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")),
         "nodes",
     )
-    component = _components(rows, nodes, scratch, width, percent, n)
+    component = _components(base, rows, nodes, scratch, width, percent, n)
     labelled = nodes.select("mark", "node").join(component, "node", "left").select(
         "mark", F.coalesce("component", "node").alias("component_id"), F.col("component").isNotNull().alias("joined")
     )
@@ -279,7 +281,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def _components(rows: DataFrame, nodes: DataFrame, scratch: Scratch, width: int, percent: int, n: int) -> DataFrame:
+def _components(base: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch, width: int, percent: int, n: int) -> DataFrame:
     distance = 2 * (n // CHUNK) - 1
     keyed = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long").repartition("key")
     busy = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
@@ -292,37 +294,62 @@ def _components(rows: DataFrame, nodes: DataFrame, scratch: Scratch, width: int,
     links = scratch.save(_verified(tested, rows, width, percent), "links-0")
     component = connected_components(links, scratch)
     placed = bucket.join(component, "node", "left").select("key", "centre", "node", F.coalesce("component", "node").alias("comp"))
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    members = placed.join(open_, "key", "left_semi").join(sigs, "node").select("key", "node", "comp", "sig")
+    open_ = (
+        placed.groupBy("key")
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min("node").alias("hub"))
+        .where("lo <> hi")
+    )
+    small, large = open_.where(F.col("n") <= BUCKET_ROWS), open_.where(F.col("n") > BUCKET_ROWS)
+    members = placed.join(small.select("key"), "key", "left_semi").join(sigs, "node").select("key", "node", "comp", "sig")
     grouped = members.repartition("key").sortWithinPartitions("key")
     found = scratch.save(grouped.mapInArrow(_bucket_pairs(distance), "a long, b long, hub long").distinct(), "pairs-1")
     fresh = scratch.save(found.where("b is not null").select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs-2")
-    crowd = found.where("b is null")
+    whole = placed.join(large.select("key", "hub"), "key").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "hub")
+    crowd = scratch.save(found.where("b is null").unionByName(whole).distinct(), "crowd")
     more = scratch.save(_verified(fresh, rows, width, percent), "links-1")
     if not crowd.isEmpty():
         clusters = connected_components(crowd.select(F.col("a").alias("u"), F.col("hub").alias("v")), scratch)
         crowd = crowd.select(F.col("a").alias("node")).distinct()
-        more = more.unionByName(scratch.save(_compared(crowd, clusters, component, rows, width, percent), "links-2"))
+        more = more.unionByName(scratch.save(_compared(crowd, clusters, component, base, rows, width, percent), "links-2"))
     return component if more.isEmpty() else connected_components(links.unionByName(more), scratch)
 
 
-def _compared(crowd: DataFrame, clusters: DataFrame, component: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links among crowded nodes. Nodes of a cluster are dealt to blocks, and every pair of blocks is compared.
+def _compared(
+    crowd: DataFrame, clusters: DataFrame, component: DataFrame, base: DataFrame, rows: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Links among crowded nodes. Nodes of a cluster are dealt to blocks, and pairs of blocks are compared.
 
     Clusters are components of nodes that share crowded buckets, so no candidate
     pair is in two of them. A block holds about ``BLOCK_SHINGLES``, so
     a hot cluster becomes many tasks of bounded size, and sets travel once per
-    block, never once per pair.
+    block, never once per pair. A component that fills a block has blocks of its
+    own, which are not held against each other: a large group already joined
+    costs as many blocks as it has, times those of the rest.
     """
     ids = crowd.select(F.col("node").alias("doc_id"))
     wanted = F.broadcast(ids) if row_count_at_most(ids, BROADCAST_IDS) else ids
     sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "node long, shingles binary").dropDuplicates(["node"])
-    named = crowd.join(clusters.withColumnRenamed("component", "cluster"), "node").join(component, "node", "left")
-    full = named.select("node", "cluster", F.coalesce("component", "node").alias("comp")).join(sets, "node")
-    blocks = full.groupBy("cluster").agg(F.ceil(F.sum(F.length("shingles") / 8) / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = full.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sent = dealt.select("*", other.alias("other")).select(
+    sizes = base.join(wanted, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("size"))
+    named = crowd.join(clusters.withColumnRenamed("component", "cluster"), "node").join(component, "node", "left").join(sizes, "node")
+    named = named.select("node", "cluster", F.coalesce("component", "node").alias("comp"), "size")
+    # One row per component that fills a block, and one (own null) for all smaller ones of a cluster.
+    own = F.when(F.col("size") > BLOCK_SHINGLES, F.col("comp")).alias("own")
+    parts = named.groupBy("cluster", "comp").agg(F.sum("size").alias("size")).groupBy("cluster", own)
+    parts = parts.agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("n"))
+    whole = Window.partitionBy("cluster")
+    parts = parts.withColumn("first", (F.sum("n").over(whole.orderBy("own")) - F.col("n")).cast("int"))
+    parts = parts.withColumn("blocks", F.sum("n").over(whole).cast("int"))
+    large = parts.where("own is not null").select("cluster", F.col("own").alias("comp"), F.struct("n", "first", "blocks").alias("part"))
+    rest = parts.where("own is null").select("cluster", F.struct("n", "first", "blocks").alias("others"))
+    placed = named.join(large, ["cluster", "comp"], "left").join(rest, "cluster", "left")
+    placed = placed.select("node", "cluster", "comp", F.col("part").isNotNull().alias("own"), F.coalesce("part", "others").alias("p"))
+    block = (F.col("p.first") + F.pmod(F.xxhash64("node"), F.col("p.n"))).cast("int")
+    beside = F.filter(
+        F.sequence(F.lit(0), F.col("p.blocks") - 1),
+        lambda x: ~F.col("own") | (x < F.col("p.first")) | (x >= F.col("p.first") + F.col("p.n")),
+    )
+    sent = placed.select("node", "cluster", "comp", block.alias("block"), beside.alias("beside")).join(sets, "node")
+    sent = sent.select("*", F.explode("beside").alias("other")).select(
         "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block", "shingles"
     )
     grouped = sent.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")

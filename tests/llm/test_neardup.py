@@ -79,6 +79,15 @@ def test_crowded_buckets_match_brute_force(spark, monkeypatch):
     assert made
 
 
+@pytest.mark.parametrize("block", [300, 2000, 200_000])
+def test_large_buckets_match_brute_force(spark, monkeypatch, block):
+    texts = family(6, 70, 80, 12) + family(7, 50, 80, 5) + family(8, 20, 400, 60)
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(neardup, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", block)
+    assert run(spark, rows) == brute(rows, 3, 85)
+
+
 def test_empty_table_nulls_and_clashing_columns(spark):
     assert run(spark, []) == set()
     df = spark.createDataFrame([(None, "a b c", 1), (4, "a b c", 2), (2, "a b c", 3)], "doc_id long, text string, node int")
