@@ -306,14 +306,17 @@ def _round_trip(coder: Transducer, text: str) -> tuple[np.ndarray, int, str, str
 def _digest_batches(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _loaded(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = [_round_trip(coder, t.as_py() or "") for t in batch.column(1)[at : at + 256]]
-                cols = [batch.column(0)[at : at + 256]]
-                cols += [pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int64()), (2, pa.string()), (3, pa.string()))]
-                if with_ids:
-                    cols.append(pa.array([r[0].astype("i4") for r in rows], pa.list_(pa.int32())))
-                yield pa.record_batch(cols, names=_DIGESTS + ["ids"] * with_ids)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    rows = [_round_trip(coder, t.as_py() or "") for t in batch.column(1)[at : at + 256]]
+                    cols = [batch.column(0)[at : at + 256]]
+                    cols += [pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int64()), (2, pa.string()), (3, pa.string()))]
+                    if with_ids:
+                        cols.append(pa.array([r[0].astype("i4") for r in rows], pa.list_(pa.int32())))
+                    yield pa.record_batch(cols, names=_DIGESTS + ["ids"] * with_ids)
+        finally:
+            coder.pieces.rest()
 
     return run
 

@@ -7,6 +7,7 @@ text can be cut there and equal pieces share one cache entry.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 import regex
 
@@ -22,6 +23,8 @@ CLEAN_SPACE = regex.compile(rf"(?<=[^{WS}]) (?=[^{WS}])")
 PIECES_KEPT = 400_000
 WORDS_KEPT = 400_000
 LONGEST_KEPT = 64
+#: Entries a cache keeps when its task ends, as the worker process lives on into other stages.
+IDLE_KEPT = 50_000
 
 
 class PieceEncoder:
@@ -38,6 +41,13 @@ class PieceEncoder:
         self.old_words: dict[str, bytes] = {}
         self.cache = _Pieces(self)
 
+    def rest(self) -> None:
+        """Keeps the entries met first, which are the common ones, and frees the others."""
+        self.old_words, self.words = {}, dict(islice((self.old_words or self.words).items(), IDLE_KEPT))
+        kept = dict(islice((self.cache.old or self.cache).items(), IDLE_KEPT))
+        self.cache = _Pieces(self)
+        self.cache.update(kept)
+
     def closed(self, text: str, spaced: bool) -> bytes:
         """Ids of ``text`` whose both ends are certain; ``spaced``: a space stands before it."""
         if not text:
@@ -68,7 +78,7 @@ class PieceEncoder:
             return self.encode_word(" " + piece)
         body, last = piece[:-1], piece[-1]
         if body.isalpha() and last in PLAIN_MARKS:
-            return self.whole_word(" " + body) + self.whole_word(last)
+            return self.cache[body] + self.whole_word(last)
         return self.whole(" " + piece)
 
     def whole_word(self, w: str) -> bytes:

@@ -203,6 +203,7 @@ def _write_segments(path: str, end_id: int):
                     docs, sizes, codes, n, start, segment = [], [], [], 0, start + n, segment + 1
         if docs:
             yield row()
+        coder.rest()
 
     return run
 
