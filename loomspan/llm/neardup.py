@@ -42,6 +42,9 @@ PAIRS_A_MEMBER = 32
 BUCKET_ROWS = 20_000
 #: Shingles of one block of crowded nodes.
 BLOCK_SHINGLES = 200_000
+#: Shingles and nodes of a block that are turned into bits at once.
+TILE_SHINGLES = 25_000
+TILE_ROWS = 2_048
 
 
 @lru_cache(maxsize=16)
@@ -197,42 +200,65 @@ def _bucket_pairs(distance: int):
 def _block_links(percent: int):
     """Per pair of blocks (cluster, i, j), links between nodes of different components, by exact counts.
 
-    Shingles that occur once in the two blocks can not be shared; the others
-    become bits. A link that only repeats what earlier links of the task join
-    is not sent.
+    Blocks are compared tile by tile, so that bits stay small however many
+    short texts a block holds. A link that only repeats what earlier links of
+    the task join is not sent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_key(batches, 3):
             i, j = rows[0][1], rows[0][2]
-            node, comp, block = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+            node, joined, block = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
             sets = [np.frombuffer(r[6], np.uint64) for r in rows]
             size = np.array([len(x) for x in sets])
-            words, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[at]
-            packed = np.zeros((len(rows), int((times > 1).sum()) // 64 + 1), np.uint64)
-            owner, shared = np.repeat(np.arange(len(rows)), size), place >= 0
-            bit = np.uint64(1) << (place[shared] & 63).astype(np.uint64)
-            np.bitwise_or.at(packed, (owner[shared], place[shared] >> 6), bit)
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            joined = comp.copy()
             us, vs = [], []
-            for x in left:
-                others = right[joined[right] != joined[x]]
-                if i == j:
-                    others = others[others > x]
-                both = np.bitwise_count(packed[others] & packed[x]).sum(axis=1, dtype=np.int64)
-                for y in others[100 * both >= percent * (size[others] + size[x] - both)]:
-                    if joined[x] != joined[y]:
-                        us.append(node[x])
-                        vs.append(node[y])
-                        joined[joined == joined[y]] = joined[x]
+            for left, right in _tile_pairs(np.flatnonzero(block == i), np.flatnonzero(block == j), size):
+                own = np.union1d(left, right)
+                if (joined[own] == joined[own[0]]).all():
+                    continue
+                bits = _shared_bits([sets[x] for x in own])
+                for x in left:
+                    others = right[joined[right] != joined[x]]
+                    if i == j:
+                        others = others[others > x]
+                    shared = bits[np.searchsorted(own, others)] & bits[np.searchsorted(own, x)]
+                    both = np.bitwise_count(shared).sum(axis=1, dtype=np.int64)
+                    for y in others[100 * both >= percent * (size[others] + size[x] - both)]:
+                        if joined[x] != joined[y]:
+                            us.append(node[x])
+                            vs.append(node[y])
+                            joined[joined == joined[y]] = joined[x]
             if us:
                 yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
 
+def _tile_pairs(left: np.ndarray, right: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of tiles of two blocks; of a block with itself each pair once."""
+
+    def tiles(of: np.ndarray) -> list[np.ndarray]:
+        mark = np.stack([np.cumsum(size[of]) // TILE_SHINGLES, np.arange(len(of)) // TILE_ROWS])
+        return np.split(of, np.flatnonzero(np.diff(mark).any(axis=0)) + 1) if len(of) else []
+
+    same = np.array_equal(left, right)
+    ours = tiles(left)
+    theirs = ours if same else tiles(right)
+    for at, one in enumerate(ours):
+        for two in theirs[at:] if same else theirs:
+            yield one, two
+
+
+def _shared_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of bits per set, over the shingles that more than one of the sets hold."""
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[at]
+    packed = np.zeros((len(sets), int((times > 1).sum()) // 64 + 1), np.uint64)
+    owner, shared = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), place >= 0
+    np.bitwise_or.at(packed, (owner[shared], place[shared] >> 6), np.uint64(1) << (place[shared] & 63).astype(np.uint64))
+    return packed
+
+
 def _by_key(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
     """Groups rows that come sorted by their first ``width`` columns."""
     now, rows = None, []

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomspan.llm import neardup
@@ -103,3 +104,30 @@ def test_signatures_within_the_distance_always_share_a_key():
         other = sig.copy()
         other[rng.choice(len(sig), 2 * m - 1, replace=False)] ^= 1
         assert set(neardup.index_keys(sig).tolist()) & set(neardup.index_keys(other).tolist())
+
+
+@pytest.mark.parametrize("rows, shingles", [(2048, 25_000), (3, 40), (1, 1)])
+def test_block_links_in_tiles_join_what_all_pairs_join(monkeypatch, rows, shingles):
+    monkeypatch.setattr(neardup, "TILE_ROWS", rows)
+    monkeypatch.setattr(neardup, "TILE_SHINGLES", shingles)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 14, rng.integers(1, 30)).astype(np.uint64)) for _ in range(40)]
+    of = [k % 2 for k in range(40)]
+    for i, j in ((0, 0), (0, 1), (1, 1)):
+        own = [k for k in range(40) if of[k] in (i, j)]
+        batch = pa.record_batch(
+            [[7] * len(own), [i] * len(own), [j] * len(own), own, own, [of[k] for k in own], [sets[k].tobytes() for k in own]],
+            names=list("abcdefg"),
+        )
+        found = [(u, v) for out in neardup._block_links(80)(iter([batch])) for u, v in zip(*(c.to_pylist() for c in out.columns))]
+        pairs = [(x, y) for x in own for y in own if x < y and (i == j or of[x] != of[y])]
+        true = [(x, y) for x, y in pairs if 100 * len(set(sets[x]) & set(sets[y])) >= 80 * len(set(sets[x]) | set(sets[y]))]
+        assert {tuple(sorted(p)) for p in found} <= set(true)
+        assert _classes(own, found) == _classes(own, true)
+
+
+def _classes(items, links):
+    at = {k: k for k in items}
+    for u, v in links:
+        at = {k: at[u] if c == at[v] else c for k, c in at.items()}
+    return {frozenset(k for k in items if at[k] == c) for c in at.values()}
