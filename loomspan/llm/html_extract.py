@@ -1,23 +1,25 @@
 """Main-text extraction by template deduction from equivalence classes of tokens.
 
 Tokens are tags told apart by the containers around them, and the texts of
-blocks. Over the pages of one host every token has an occurrence vector, its
-count on each page; tokens with equal vectors form an equivalence class, and
-large, frequent classes whose tokens nest properly make up the host's template
-(Arasu and Garcia-Molina, "Extracting Structured Data from Web Pages"). What
-the template leaves open are slots; those of menus, notices, forms and the like are
-left out by the containers that hold them, and texts that are template
-themselves are no slots at all.
+blocks, those of articles too. Over the pages of one host every token has an occurrence
+vector, its count on each page; tokens with equal vectors form an equivalence class.
+A class is valid when it is frequent, its tokens follow each other in one order on
+its pages, its occurrences nest with those of other classes, and a slot
+between its tokens varies from page to page (Arasu and Garcia-Molina, "Extracting
+Structured Data from Web Pages"). The texts of valid classes are template; the main text is
+what the slots leave open, without menus, notices, forms and the like, which are
+told by the containers that hold them.
 
 No host's pages meet in one task: each task sums a digest of the vectors of
-its own pages, sums meet per (host, token), and a template has a bounded
-number of tokens, whatever the number of pages.
+its own pages, sums meet per (host, token), a second pass sums where the tokens of each class
+stand, and a template has a bounded number of tokens, whatever the number of pages.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +34,8 @@ from loomspan.llm.url_filter import host_of
 SHARE = 0.2
 #: Pages of a host below which texts are not taken as template.
 LEAST_PAGES = 5
+#: Share of a class's pages on which a token must keep its place in the class.
+SETTLED = 0.9
 BROADCAST_TOKENS = 200_000
 _TALLY = 100_000
 
@@ -53,8 +57,8 @@ class Page:
     """The tokens of a page and its blocks of text, in one pass over the markup."""
 
     def __init__(self, source: str) -> None:
-        self.counts: dict[str, int] = {}
-        self.blocks: list[tuple[str, str, bool, bool]] = []  # text, path, outside, within article or main
+        self.order: list[tuple[str, int]] = []  # tokens as they come, with a digest of their text or 0
+        self.blocks: list[tuple[str, str, bool, bool]] = []  # text, token, outside, within article or main
         self.path: list[tuple[str, str, bool, bool]] = []  # tag, label, outside, article
         self._text: list[str] = []
         at = 0
@@ -78,8 +82,7 @@ class Page:
         self._flush()
 
     def _count(self, name: str) -> None:
-        token = f"{self.path[-1][1] if self.path else ''}>{name}"
-        self.counts[token] = self.counts.get(token, 0) + 1
+        self.order.append((f"{self.path[-1][1] if self.path else ''}>{name}", 0))
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag in _INLINE:
@@ -119,15 +122,51 @@ class Page:
             text = " ".join((_html.unescape(joined) if "&" in joined else joined).split())
             if text:
                 _, label, outside, article = self.path[-1] if self.path else ("", "", False, False)
-                self.blocks.append((text, label, outside, article))
+                token = "=" + xxhash.xxh3_64_hexdigest(f"{label}={text}")
+                self.blocks.append((text, token, outside, article))
+                if not outside:
+                    self.order.append((token, int(token[1:], 16)))
 
     def tokens(self) -> dict[str, int]:
-        """Counts of structural tokens and of block texts outside an article."""
-        out = dict(self.counts)
-        for text, label, outside, article in self.blocks:
-            if not outside and not article:
-                key = f"{label}={xxhash.xxh3_64_hexdigest(text)}"
-                out[key] = out.get(key, 0) + 1
+        """Counts of structural tokens and of the texts of blocks outside menus and the like."""
+        return Counter(token for token, _ in self.order)
+
+    def places(self, classes: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int, int]]:
+        """By token of the given classes: its rank in its class (-1 if unsettled) and the least and largest digest of the slot after it.
+
+        ``classes`` has each token's class and the number of tokens in that. The
+        tokens of a class take turns on a page; one that has not the same place in every
+        turn has no rank, nor have those of a class whose turns cross another's. Of
+        two that cross the smaller one is at fault.
+        """
+        seen: dict[int, list[tuple[str, int, int]]] = {}  # by class: token, texts before, texts up to its end
+        sums, crossed, open_turns = 0, set(), []
+        for token, digest in self.order:
+            before, sums = sums, sums + digest
+            if token not in classes:
+                continue
+            kind, size = classes[token]
+            turn = seen.setdefault(kind, [])
+            at = len(turn) % size
+            turn.append((token, before, sums))
+            if size == 1:
+                continue
+            if at and (kind, size) in open_turns:
+                while open_turns[-1][0] != kind:
+                    other = open_turns.pop()
+                    crossed.add(min((other[1], other[0]), (size, kind))[1])
+            else:
+                open_turns.append((kind, size))
+            if at == size - 1:
+                open_turns.pop()
+        out: dict[str, tuple[int, int, int]] = {}
+        for kind, turn in seen.items():
+            for k, (token, _, end) in enumerate(turn):
+                size = classes[token][1]
+                rank = -1 if kind in crossed else k % size
+                slot = (turn[k + 1][1] - end) % (1 << 63) if rank + 1 < size and k + 1 < len(turn) else 0
+                known = out.get(token, (rank, slot, slot))
+                out[token] = (rank if known[0] == rank else -1, min(known[1], slot), max(known[2], slot))
         return out
 
 
@@ -135,13 +174,12 @@ def main_text(page: Page, template: set[str]) -> str:
     """The open slots of a page outside menus, notices and the like, in page order.
 
     An article or main element holds the text if there is one with text; else
-    all other blocks do, but for texts that belong to the template.
+    all other blocks do. Texts that belong to the template are left out, unless
+    the page has no others: then nothing tells its text from the template.
     """
     inside = [b for b in page.blocks if not b[2]]
-    chosen = [b[0] for b in inside if b[3]]
-    if not chosen:
-        chosen = [t for t, label, _, _ in inside if f"{label}={xxhash.xxh3_64_hexdigest(t)}" not in template]
-    return " ".join(chosen)
+    within = [b for b in inside if b[3]] or inside
+    return " ".join([b[0] for b in within if b[1] not in template] or [b[0] for b in within])
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,24 +209,78 @@ def _tallied(tally: dict[tuple[str, str], list[int]]) -> pa.RecordBatch:
     return pa.record_batch(cols, names=["host", "token", "pages", "occurs", "low", "high"])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens): the tokens of each host's valid equivalence classes.
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: for each (host, token, rank) of the hosts' classes its pages, and the least and largest digest of the slot after it."""
+    tally: dict[tuple[str, str, int], list[int]] = {}
+    known: dict[str, dict[str, tuple[int, int]]] = {}
+    for batch in batches:
+        for host, source, tokens in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            if host not in known:
+                if len(known) > 10_000:
+                    known.clear()
+                known[host] = {t["token"]: (t["class"], t["size"]) for t in tokens.as_py()}
+            for token, (rank, low, high) in Page(source.as_py() or "").places(known[host]).items():
+                row = tally.setdefault((host, token, rank), [0, low, high])
+                row[0] += 1
+                row[1], row[2] = min(row[1], low), max(row[2], high)
+        if len(tally) > _TALLY:
+            yield _placed(tally)
+            tally = {}
+    if tally:
+        yield _placed(tally)
+
+
+def _placed(tally: dict[tuple[str, str, int], list[int]]) -> pa.RecordBatch:
+    cols = [pa.array([k[i] for k in tally], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
+    cols += [pa.array([v[i] for v in tally.values()], pa.int64()) for i in range(3)]
+    return pa.record_batch(cols, names=["host", "token", "rank", "pages", "low", "high"])
 
-    A class is valid if it stands on ``SHARE`` of the host's pages and, unless it
-    is a text, has at least two tokens, so that an opening tag without its closing one, or
-    a tag whose count varies on its own, is no template.
-    """
+
+def _held(found: DataFrame) -> DataFrame:
+    """``found`` by host, broadcast if its tokens are few."""
+    return F.broadcast(found) if row_count_at_most(found.select(F.explode("tokens")), BROADCAST_TOKENS) else found
+
+
+def classes(pages: DataFrame) -> DataFrame:
+    """(host, tokens): token, class, size of its class and pages of the equivalence classes that stand on ``SHARE`` of the host's pages."""
     sums = (
         pages.mapInArrow(_vectors, "host string, token string, pages long, occurs long, low long, high long")
         .groupBy("host", "token")
         .agg(*[F.sum(c).alias(c) for c in ("pages", "occurs", "low", "high")])
     )
-    total = sums.where("token = ''").select("host", F.col("pages").alias("total"))
-    frequent = sums.where("token <> ''").join(total, "host").where((F.col("pages") >= SHARE * F.col("total")) & (F.col("total") >= LEAST_PAGES))
-    classes = frequent.groupBy("host", "pages", "occurs", "low", "high").agg(F.collect_set("token").alias("tokens"))
-    text_only = F.filter("tokens", lambda t: t.contains("="))
-    valid = F.when(F.size("tokens") >= 2, F.col("tokens")).otherwise(text_only)
-    return classes.select("host", F.explode(valid).alias("token")).groupBy("host").agg(F.collect_set("token").alias("tokens"))
+    total = sums.where("token = ''").select("host", F.col("pages").alias("total")).where(F.col("total") >= LEAST_PAGES)
+    frequent = sums.where((F.col("token") != "") & (F.col("pages") >= SHARE * LEAST_PAGES)).join(total, "host").where(F.col("pages") >= SHARE * F.col("total"))
+    grouped = frequent.groupBy("host", "pages", "occurs", "low", "high").agg(F.collect_set("token").alias("names"))
+    rows = grouped.select("host", F.explode("names").alias("token"), F.xxhash64("pages", "occurs", "low", "high").alias("class"), F.size("names").alias("size"), "pages")
+    return rows.groupBy("host").agg(F.collect_list(F.struct("token", "class", "size", "pages")).alias("tokens"))
+
+
+def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, tokens): the texts of each host's valid equivalence classes.
+
+    A token stays in its class if it has one rank there, in turns that nest, on ``SETTLED`` of
+    the class's pages. A class is valid if two tokens or more stay, one of them a tag, and
+    the slot after one of them varies: a text is never template by its own frequency.
+    """
+    found = scratch.save(classes(pages), "classes")
+    placed = (
+        pages.join(_held(found), "host").select("host", "html", "tokens")
+        .mapInArrow(_places, "host string, token string, rank long, pages long, low long, high long")
+        .where("rank >= 0")
+        .groupBy("host", "token", "rank")
+        .agg(F.sum("pages").alias("settled"), F.min("low").alias("low"), F.max("high").alias("high"))
+    )
+    tokens = found.select("host", F.explode("tokens").alias("t")).select("host", "t.*")
+    stay = placed.join(tokens, ["host", "token"]).where(F.col("settled") >= SETTLED * F.col("pages"))
+    return (
+        stay.groupBy("host", "class")
+        .agg(F.collect_set("token").alias("names"), F.max(F.col("low") < F.col("high")).alias("varies"))
+        .where(F.col("varies") & (F.size("names") >= 2) & F.exists("names", lambda t: ~t.startswith("=")))
+        .select("host", F.explode("names").alias("token"))
+        .where(F.col("token").startswith("="))
+        .groupBy("host")
+        .agg(F.collect_set("token").alias("tokens"))
+    )
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +313,7 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
         host_of(F.col("url")).alias("host"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
-    found = scratch.save(templates(own.select(F.xxhash64("page_id", "url").alias("key"), "host", "html")), "templates")
-    size = found.select(F.explode("tokens").alias("t"))
-    found = F.broadcast(found) if row_count_at_most(size, BROADCAST_TOKENS) else found
+    found = _held(scratch.save(templates(own.select(F.xxhash64("page_id", "url").alias("key"), "host", "html"), scratch), "templates"))
     return own.join(found, "host", "left").select("page_id", "url", "host", "html", "tokens").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long"
     )

@@ -341,3 +341,24 @@ def test_decontamination_with_short_items(spark):
     assert sorted(map(tuple, contamination(d, b).collect())) == sorted(expected)
     assert contamination(d.where("false"), b).count() == 0
     assert contamination(d, b.where("false")).where("contaminated").count() == 0
+
+
+def texts_of(spark, sources, host="t.example"):
+    rows = [(i, f"http://{host}/{i}", s) for i, s in enumerate(sources)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return [r["text"] for r in html_extract.extract(df, Scratch(spark, "t")).orderBy("page_id").collect()]
+
+
+def test_html_template_inside_articles(spark):
+    pages = [f"<body><article><p>Posted by us</p><p>Own words {i}</p><p>Read more</p></article></body>" for i in range(12)]
+    assert texts_of(spark, pages) == [f"Own words {i}" for i in range(12)]
+
+
+def test_html_template_needs_one_order_and_nesting(spark):
+    orders = [("One", "Two"), ("Two", "One")]
+    pages = ["<body><article><p>{}</p><p>Own {}</p><p>{}</p></article></body>".format(orders[i % 2][0], i, orders[i % 2][1]) for i in range(12)]
+    assert texts_of(spark, pages) == [f"{orders[i % 2][0]} Own {i} {orders[i % 2][1]}" for i in range(12)]
+    page = html_extract.Page("")
+    page.order = [("a", 0), ("b", 0), ("c", 0), ("d", 5), ("e", 0)]
+    crossing = page.places({"a": (1, 3), "c": (1, 3), "e": (1, 3), "b": (2, 2), "d": (2, 2)})
+    assert [crossing[t][0] for t in "ace"] == [0, 1, 2] and [crossing[t][0] for t in "bd"] == [-1, -1]
