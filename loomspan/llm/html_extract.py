@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from loomspan.llm.common import Scratch, row_count_at_most
 from loomspan.llm.url_filter import host_of
 
-#: A template token stands on this share of a host's pages at least, so there are at most 1 / share times the mean tokens of a page.
-SHARE = 0.2
-#: Pages of a host below which texts are not taken as template.
+#: A template token stands on this share of a host's distinct pages at least, so there are at most 1 / share times the mean tokens of a page.
+SHARE = 0.9
+#: Distinct pages of a host below which nothing tells its template from its text, and all is kept.
 LEAST_PAGES = 5
 #: Share of a class's pages on which a token must keep its place in the class.
 SETTLED = 0.9
@@ -183,16 +183,19 @@ def main_text(page: Page, template: set[str]) -> str:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: for each (host, token) its pages, occurrences and the sums that digest its vector."""
-    tally: dict[tuple[str, str], list[int]] = {}
+    """Per task: for each (host, token) its distinct pages, occurrences and the sums that digest its vector.
+
+    Each of n equal pages counts as 1 / n of a page.
+    """
+    tally: dict[tuple[str, str], list[float]] = {}
     for batch in batches:
-        for key, host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        for key, host, source, copies in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2), batch.column(3).to_pylist()):
             seen = Page(source.as_py() or "").tokens()
             seen[""] = 1
             for token, n in seen.items():
                 mark = xxhash.xxh3_64_intdigest(f"{key}:{n}".encode())
                 row = tally.setdefault((host, token), [0, 0, 0, 0])
-                row[0] += 1
+                row[0] += 1 / copies
                 row[1] += n
                 row[2] += mark & 0xFFFFFFFF
                 row[3] += mark >> 32
@@ -203,25 +206,25 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _tallied(tally)
 
 
-def _tallied(tally: dict[tuple[str, str], list[int]]) -> pa.RecordBatch:
+def _tallied(tally: dict[tuple[str, str], list[float]]) -> pa.RecordBatch:
     cols = [pa.array([k[i] for k in tally], pa.string()) for i in range(2)]
-    cols += [pa.array([v[i] for v in tally.values()], pa.int64()) for i in range(4)]
+    cols += [pa.array([v[i] for v in tally.values()], kind) for i, kind in enumerate((pa.float64(), *[pa.int64()] * 3))]
     return pa.record_batch(cols, names=["host", "token", "pages", "occurs", "low", "high"])
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: for each (host, token, rank) of the hosts' classes its pages, and the least and largest digest of the slot after it."""
-    tally: dict[tuple[str, str, int], list[int]] = {}
+    tally: dict[tuple[str, str, int], list[float]] = {}
     known: dict[str, dict[str, tuple[int, int]]] = {}
     for batch in batches:
-        for host, source, tokens in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+        for host, source, tokens, copies in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
             if host not in known:
                 if len(known) > 10_000:
                     known.clear()
                 known[host] = {t["token"]: (t["class"], t["size"]) for t in tokens.as_py()}
             for token, (rank, low, high) in Page(source.as_py() or "").places(known[host]).items():
                 row = tally.setdefault((host, token, rank), [0, low, high])
-                row[0] += 1
+                row[0] += 1 / copies
                 row[1], row[2] = min(row[1], low), max(row[2], high)
         if len(tally) > _TALLY:
             yield _placed(tally)
@@ -230,9 +233,9 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _placed(tally)
 
 
-def _placed(tally: dict[tuple[str, str, int], list[int]]) -> pa.RecordBatch:
+def _placed(tally: dict[tuple[str, str, int], list[float]]) -> pa.RecordBatch:
     cols = [pa.array([k[i] for k in tally], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
-    cols += [pa.array([v[i] for v in tally.values()], pa.int64()) for i in range(3)]
+    cols += [pa.array([v[i] for v in tally.values()], kind) for i, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
     return pa.record_batch(cols, names=["host", "token", "rank", "pages", "low", "high"])
 
 
@@ -242,16 +245,16 @@ def _held(found: DataFrame) -> DataFrame:
 
 
 def classes(pages: DataFrame) -> DataFrame:
-    """(host, tokens): token, class, size of its class and pages of the equivalence classes that stand on ``SHARE`` of the host's pages."""
+    """(host, tokens): token, class, size of its class and pages of the equivalence classes that stand on ``SHARE`` of the host's distinct pages."""
     sums = (
-        pages.mapInArrow(_vectors, "host string, token string, pages long, occurs long, low long, high long")
+        pages.mapInArrow(_vectors, "host string, token string, pages double, occurs long, low long, high long")
         .groupBy("host", "token")
-        .agg(*[F.sum(c).alias(c) for c in ("pages", "occurs", "low", "high")])
+        .agg(F.round(F.sum("pages"), 6).alias("pages"), *[F.sum(c).alias(c) for c in ("occurs", "low", "high")])
     )
     total = sums.where("token = ''").select("host", F.col("pages").alias("total")).where(F.col("total") >= LEAST_PAGES)
     frequent = sums.where((F.col("token") != "") & (F.col("pages") >= SHARE * LEAST_PAGES)).join(total, "host").where(F.col("pages") >= SHARE * F.col("total"))
-    grouped = frequent.groupBy("host", "pages", "occurs", "low", "high").agg(F.collect_set("token").alias("names"))
-    rows = grouped.select("host", F.explode("names").alias("token"), F.xxhash64("pages", "occurs", "low", "high").alias("class"), F.size("names").alias("size"), "pages")
+    grouped = frequent.groupBy("host", "occurs", "low", "high").agg(F.collect_set("token").alias("names"), F.max("pages").alias("pages"))
+    rows = grouped.select("host", F.explode("names").alias("token"), F.xxhash64("occurs", "low", "high").alias("class"), F.size("names").alias("size"), "pages")
     return rows.groupBy("host").agg(F.collect_list(F.struct("token", "class", "size", "pages")).alias("tokens"))
 
 
@@ -264,11 +267,11 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """
     found = scratch.save(classes(pages), "classes")
     placed = (
-        pages.join(_held(found), "host").select("host", "html", "tokens")
-        .mapInArrow(_places, "host string, token string, rank long, pages long, low long, high long")
+        pages.join(_held(found), "host").select("host", "html", "tokens", "copies")
+        .mapInArrow(_places, "host string, token string, rank long, pages double, low long, high long")
         .where("rank >= 0")
         .groupBy("host", "token", "rank")
-        .agg(F.sum("pages").alias("settled"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .agg(F.round(F.sum("pages"), 6).alias("settled"), F.min("low").alias("low"), F.max("high").alias("high"))
     )
     tokens = found.select("host", F.explode("tokens").alias("t")).select("host", "t.*")
     stay = placed.join(tokens, ["host", "token"]).where(F.col("settled") >= SETTLED * F.col("pages"))
@@ -313,7 +316,11 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
         host_of(F.col("url")).alias("host"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
-    found = _held(scratch.save(templates(own.select(F.xxhash64("page_id", "url").alias("key"), "host", "html"), scratch), "templates"))
+    keyed = own.select("host", "html", F.xxhash64("html").alias("key"))
+    copied = scratch.save(keyed.groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1"), "copied")
+    few = row_count_at_most(copied, BROADCAST_TOKENS)
+    counted = keyed.join(F.broadcast(copied) if few else copied, ["host", "key"], "left").select("key", "host", "html", F.coalesce("n", F.lit(1)).alias("copies"))
+    found = _held(scratch.save(templates(counted, scratch), "templates"))
     return own.join(found, "host", "left").select("page_id", "url", "host", "html", "tokens").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long"
     )

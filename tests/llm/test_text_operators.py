@@ -362,3 +362,12 @@ def test_html_template_needs_one_order_and_nesting(spark):
     page.order = [("a", 0), ("b", 0), ("c", 0), ("d", 5), ("e", 0)]
     crossing = page.places({"a": (1, 3), "c": (1, 3), "e": (1, 3), "b": (2, 2), "d": (2, 2)})
     assert [crossing[t][0] for t in "ace"] == [0, 1, 2] and [crossing[t][0] for t in "bd"] == [-1, -1]
+
+
+def test_html_copies_and_shared_passages_stay(spark):
+    own = [f"<body><div><p>Own words {i}</p></div></body>" for i in range(12)]
+    copy = "<body><div><p>Copied passage</p><p>and its second part</p></div></body>"
+    assert texts_of(spark, own + [copy] * 6)[12:] == ["Copied passage and its second part"] * 6
+    assert texts_of(spark, own[:2] + [copy] * 60)[2:] == ["Copied passage and its second part"] * 60
+    shared = [f"<body><div><p>Own words {i}</p>{'<p>Shared passage</p>' * (i % 3 == 0)}</div></body>" for i in range(12)]
+    assert texts_of(spark, shared) == [f"Own words {i}" + " Shared passage" * (i % 3 == 0) for i in range(12)]
