@@ -41,11 +41,12 @@ _TALLY = 100_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom merror msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option b i em strong a span h1 h2 h3 h4 h5 h6".split())
-_RAW = frozenset("script style noscript template iframe textarea title svg math object".split())
-_OUTSIDE = frozenset("head nav header footer aside form menu button select dialog script style noscript template iframe textarea title svg math object figcaption fieldset".split())
+#: What HTML reads as raw text; nothing inside is markup.
+_RAW = frozenset("script style iframe textarea title".split())
+_OUTSIDE = frozenset("head nav header footer aside form menu button select dialog script style noscript template iframe textarea title svg fieldset".split())
 _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|cookies?|consent|notice|popup|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|widget|pagination|pager|toolbar|skip|search)(?:$|[\s_-])",
     re.I,
@@ -78,6 +79,8 @@ class Page:
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                     at = end.end() if end else len(source)
                     self._close(tag)
+                elif tag == "svg" and m[3].endswith("/"):
+                    self._close(tag)
         self._text.append(source[at:])
         self._flush()
 

@@ -371,3 +371,12 @@ def test_html_copies_and_shared_passages_stay(spark):
     assert texts_of(spark, own[:2] + [copy] * 60)[2:] == ["Copied passage and its second part"] * 60
     shared = [f"<body><div><p>Own words {i}</p>{'<p>Shared passage</p>' * (i % 3 == 0)}</div></body>" for i in range(12)]
     assert texts_of(spark, shared) == [f"Own words {i}" + " Shared passage" * (i % 3 == 0) for i in range(12)]
+
+
+def test_html_captions_formulas_and_fallbacks():
+    text = lambda inner: html_extract.main_text(html_extract.Page(f"<article><p>A</p>{inner}<p>Z</p></article>"), set())
+    assert text("<figure><img src=x><figcaption>Caption</figcaption></figure>") == "A Caption Z"
+    assert text("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, then</p>") == "A Let x=1, then Z"
+    assert text("<object data=f><p>Fallback</p></object>") == "A Fallback Z" == text("<object data=f>Fallback<p>")
+    assert text("<svg><text>no</text></svg>") == "A Z" == text("<template><p>no</p></template>")
+    assert text("<script>'<p>no</p>'</script>") == "A Z" and text("<svg/><p>after</p>") == "A after Z"
