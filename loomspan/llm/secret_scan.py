@@ -29,8 +29,9 @@ SCOPE = 400
 _BLANK = re.compile(r"\n[ \t]*\n")
 _ENDPOINT = re.compile(r"""(?:https?|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|\b(?:endpoint|host|server|bucket)\b["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z]{2,}[^\s"'<>,;]*""", re.I | re.A)
 _IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)\b["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", re.I | re.A)
-_DENSE = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[a-z])(?=[A-Za-z0-9+/]{0,39}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
-_SHORT = re.compile(r"""(?:password|passwd|pwd|secret|token|api_?key|auth)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,11}(?![A-Za-z0-9+/_.=-])""", re.I | re.A)
+_DENSE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[a-z])(?=[A-Za-z0-9+/]{0,39}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+# From six characters on; for keywords of a base pattern up to the length it takes.
+_SHORT = re.compile(r"""(?:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,11}|(?:pwd|auth)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,})(?![A-Za-z0-9+/_.=-])""", re.I | re.A)
 
 Span = tuple[str, int, int]
 
@@ -75,10 +76,11 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     strong or weak and itself reported, is in its scope. Spans that overlap a base
     span are left out, as are texts without any secret or access identifier.
     """
-    weak = [("weak_secret", m.start(), m.end()) for m in _DENSE.finditer(text)] if base or "://" in text else []
+    weak = [("weak_secret", m.start(), m.end()) for m in _DENSE.finditer(text)]
     low = text.lower()
     if any(k in low for k in ("passw", "pwd", "secret", "token", "api", "auth")):
-        weak += [("weak_secret", m.start(), m.end()) for m in _SHORT.finditer(text)]
+        short = [("weak_secret", m.start(), m.end()) for m in _SHORT.finditer(text)]
+        weak = short + _apart(weak, [(a, b) for _, a, b in short])
     if not weak and not base:
         return []
     taken = sorted((a, b) for _, a, b in base)
