@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -118,6 +119,9 @@ SURE = 0.6
 CONFIRM = 0.6
 #: Words on either side of an anchor that are judged at once in a longer paragraph.
 REACH = 24
+#: Words around an anchor that name its family, closest first, and those in which its template is looked for.
+NEAR = (2, 4, 8, 16, 24, 48)
+_BLANK = re.compile(r"\n[^\w\n]*\n")
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
@@ -199,6 +203,33 @@ class Classifier:
         share = max(len(grams & t) / len(t) for t in self.marks[family])
         return family, sure, share >= CONFIRM
 
+    def around(self, words: tuple[str, ...], at: int) -> tuple[str, float, int, int] | None:
+        """Family, probability, first and last word of the template around the anchor ``words[at]``; None if no family is confirmed.
+
+        A family is named by words around the anchor and confirmed when they hold
+        enough of one of its templates. Of several the one whose template has most of the
+        anchor's own n-grams is taken, so that each alternative of a dual licence
+        keeps its anchor; then the one that is held most.
+        """
+        grams = _grams(list(words))
+        held = {f: max(((len(grams & t) / len(t), i) for i, t in enumerate(ts))) for f, ts in self.marks.items()}
+        held = {f: v for f, v in held.items() if v[0] >= CONFIRM}
+        if not held:
+            return None
+        named: dict[str, float] = {}
+        for r in NEAR:
+            family, sure, _ = self.judge(list(words[max(0, at - r) : at + r + 1]))
+            if family in held:
+                named[family] = max(named.get(family, 0.0), sure)
+        own = {" ".join(words[i : i + k]) for k in (2, 3) for i in range(max(0, at - k + 1), min(at, len(words) - k) + 1)}
+        ranked = [(len(own & set().union(*self.marks[f])), held[f][0], sure, f) for f, sure in named.items()]
+        if not ranked:
+            return None
+        _, _, sure, family = max(ranked)
+        template = self.marks[family][held[family][1]]
+        hit = [i for i in range(len(words) - 1) if " ".join(words[i : i + 2]) in template]
+        return family, sure, min([at, *hit]), max([at, *(i + 1 for i in hit)])
+
 
 @lru_cache(maxsize=1)
 def classifier() -> Classifier:
@@ -208,8 +239,10 @@ def classifier() -> Classifier:
 def find(text: str, model: Classifier | None = None) -> list[tuple[str, int, int, float, bool]]:
     """(family, start, end, probability, confirmed) of the judged paragraphs with a licence anchor.
 
-    A paragraph is a line. One without an anchor holds no licence wording and is
-    not judged; in a long one the words around each anchor are.
+    A paragraph ends at a blank line. Its lines are judged one by one, in a long one the words
+    around each anchor; then, as notices are wrapped and may name several licences, the
+    words around each anchor of the whole paragraph. Each confirmed family is given once per place.
+    Paragraphs without an anchor hold no licence wording and are not judged.
     """
     low = text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer: positions must stay
@@ -218,13 +251,59 @@ def find(text: str, model: Classifier | None = None) -> list[tuple[str, int, int
         return []
     model = model or classifier()
     out, start = [], 0
-    for line in low.split("\n"):
-        if any(a in line for a in ANCHORS):
-            out += _judged(text, line, start, model)
-        start += len(line) + 1
+    for end in [*(m.start() for m in _BLANK.finditer(low)), len(low)]:
+        part = low[start:end]
+        if any(a in part for a in ANCHORS):
+            lines, at = [], start
+            for line in part.split("\n"):
+                if any(a in line for a in ANCHORS):
+                    lines += _judged(text, line, at, model)
+                at += len(line) + 1
+            more = _joined(part, start, lines, model)
+            lines = [f for f in lines if f[4] or not _meets(more, f[1], f[2])]
+            out += sorted(lines + more, key=lambda f: f[1:3])
+        start = end
     return out
 
 
+def _meets(found: list[tuple[str, int, int, float, bool]], start: int, end: int) -> bool:
+    """Whether one of ``found``, whose starts and ends both rise, overlaps the interval."""
+    k = bisect_left(found, end, key=lambda f: f[1])
+    return k > 0 and found[k - 1][2] > start
+
+
+def _anchored(part: str, spans: list[tuple[int, int]]) -> list[int]:
+    """Numbers of the words that an anchor begins in or lies in."""
+    starts = [a for a, _ in spans]
+    return sorted({max(0, bisect_right(starts, m.start()) - 1) for w in ANCHORS for m in re.finditer(re.escape(w), part)}) if spans else []
+
+
+def _joined(part: str, start: int, lines: list[tuple[str, int, int, float, bool]], model: Classifier) -> list[tuple[str, int, int, float, bool]]:
+    """The families confirmed around the anchors of a paragraph, but for those that its lines gave already."""
+    spans = [(m.start(), m.end()) for m in _WORD.finditer(part)]
+    words = tuple(part[a:b].replace("licence", "license") for a, b in spans)
+    held: dict[str, list[tuple[str, int, int, float, bool]]] = {}
+    for f in lines:
+        if f[4]:
+            held.setdefault(f[0], []).append(f)
+    out: list[tuple[str, int, int, float, bool]] = []
+    reach: dict[str, int] = {}
+    known: dict[tuple[tuple[str, ...], int], tuple[str, float, int, int] | None] = {}
+    for i in _anchored(part, spans):
+        first = max(0, i - NEAR[-1])
+        key = (words[first : i + NEAR[-1] + 1], i - first)
+        if key not in known:
+            known[key] = model.around(*key)
+        if (found := known[key]) is None:
+            continue
+        family, p, a, b = found
+        a, b = start + spans[first + a][0], start + spans[first + b][1]
+        if a >= reach.get(family, 0) and not _meets(held.get(family, []), a, b):
+            out.append((family, a, b, round(p, 4), True))
+            reach[family] = b
+    return sorted(out, key=lambda f: f[1:3])
+
+
 def _judged(text: str, line: str, start: int, model: Classifier) -> list[tuple[str, int, int, float, bool]]:
     spans = [(m.start(), m.end()) for m in _WORD.finditer(line)]
     if len(spans) <= 2 * REACH:

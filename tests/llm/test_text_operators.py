@@ -391,3 +391,24 @@ def test_linked_secrets_with_any_complementary_part():
     assert secret_scan.linked_spans(text, secret_scan.base_spans(text)) == [("weak_secret", text.index(weak), len(text))]
     for value in ("hunter2", "correct-horse-battery-staple", weak):
         assert linked(f"user=root pwd={value}") == ["identifier", "weak_secret"] == linked(f"login: root auth: {value}")
+
+
+WRAPPED = {
+    "GPL": """# This program is free software: you can redistribute it and/or
+# modify it under the terms of the GNU General Public License as
+# published by the Free Software Foundation, either version 3 of the
+# License, or any later version.""",
+    "BSD": """Redistribution and use in source and binary forms, with or
+without modification, are permitted provided that the following
+conditions are met:""",
+}
+
+
+def test_licences_of_wrapped_and_dual_notices():
+    for family, text in WRAPPED.items():
+        found = [f for f in license_scan.find(f"Intro words.\n\n{text}\n\nMore words.") if f[4]]
+        assert {f[0] for f in found} == {family}
+    both = license_scan.find("This project is licensed under the Apache License, Version 2.0 or the MIT license.")
+    assert sorted(f[0] for f in both if f[4]) == ["Apache-2.0", "MIT"]
+    lesser = license_scan.find("Licensed under the GNU\nLesser General Public License,\nversion 3.")
+    assert [f[0] for f in lesser if f[4]] == ["LGPL"]
