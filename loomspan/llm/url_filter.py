@@ -9,8 +9,12 @@ explicitly allowed member takes precedence over that.
 
 from __future__ import annotations
 
+import html as _html
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +31,11 @@ RULES = (
 )
 #: Rules beyond this many are matched by a join on their parts instead of one expression.
 INLINE_RULES = 64
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*['\"]?([^\"'\s>]+)"
+_TAGS = r"""(?is)<(?:link|meta|base)\b(?:[^>"']+|"[^"]*"|'[^']*')*>"""
+_ATTR = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_REFRESH = re.compile(r"""\burl\s*=\s*["']?([^"']*)""", re.I)
+_URL = re.compile(r"(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?", re.S)
+_SCHEME = re.compile(r"[a-z][a-z0-9+.-]*:", re.I)
 
 
 def host_of(url: Column) -> Column:
@@ -79,20 +86,61 @@ def with_rules(urls: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame
     return urls.join(best, ["host", "path"], "left").select("*", "_pick.rule", "_pick.ruled").drop("_pick")
 
 
+def resolve(base: str, ref: str) -> str:
+    """The target of a reference on the page ``base``, as RFC 3986 5.2 resolves it; targets with a scheme stay as they are."""
+    scheme, host, path, query = _URL.match(base).groups("")
+    ref = ref.partition("#")[0]
+    if _SCHEME.match(ref):
+        return ref
+    if ref.startswith("//"):
+        return f"{scheme}:{ref}"
+    way, mark, asked = ref.partition("?")
+    if not way:
+        return f"{scheme}://{host}{path}{mark + asked if mark else query}"
+    if not way.startswith("/"):
+        way = (path.rpartition("/")[0] if path else "") + "/" + way
+    parts: list[str] = []
+    names = way.split("/")[1:]
+    for name in names:
+        if name == "..":
+            del parts[-1:]
+        elif name != ".":
+            parts.append(name)
+    if names[-1] in (".", ".."):
+        parts.append("")
+    return f"{scheme}://{host}/{'/'.join(parts)}{mark}{asked}"
+
+
+def targets(url: str, tags: list[str]) -> list[str]:
+    """Targets of the canonical links and meta refreshes among the link, meta and base tags of a page."""
+    base, refs = None, []
+    for tag in tags:
+        found: dict[str, str] = {}
+        for m in _ATTR.finditer(tag):
+            found.setdefault(m[1].lower(), _html.unescape(m[2] or m[3] or m[4] or "").strip())
+        kind = tag[1:5].lower()
+        if kind == "base" and base is None and "href" in found:
+            base = resolve(url, found["href"])
+        elif kind == "link" and "href" in found and "canonical" in found.get("rel", "").lower().split():
+            refs.append(found["href"])
+        elif kind == "meta" and found.get("http-equiv", "").lower() == "refresh" and (m := _REFRESH.search(found.get("content", ""))):
+            refs.append(m[1].strip())
+    base = base if base and "://" in base else url
+    return [to for ref in refs if _URL.match(to := resolve(base, ref))]
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = [(url, to) for url, tags in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for to in targets(url, tags)]
+        yield pa.record_batch([pa.array([p[i] for p in pairs], pa.string()) for i in range(2)], names=["from_url", "to_url"])
+
+
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(from_url, to_url) of canonical links and meta refreshes with an absolute or host-relative target."""
+    """(from_url, to_url) of canonical links and meta refreshes, resolved against the page's url or base element."""
     marked = pages.where(F.col(html).rlike("(?i)canonical|refresh") & F.col(url).contains("://"))
-    found = marked.select(
-        F.col(url).alias("from_url"),
-        F.explode(F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL)), F.regexp_extract_all(html, F.lit(_REFRESH)))).alias("to"),
-    )
-    scheme, to = F.regexp_extract("from_url", r"(?s)^(.*?)://", 1), F.replace("to", F.lit("&amp;"), F.lit("&"))
-    target = (
-        F.when(to.contains("://"), to)
-        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
-        .when(to.startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("from_url")), to))
-    )
-    return found.select("from_url", target.alias("to_url")).where("to_url is not null")
+    tags = F.regexp_extract_all(html, F.lit(_TAGS), F.lit(0))
+    found = marked.select(F.col(url).alias("url"), tags.alias("tags"))
+    return found.where(F.exists("tags", lambda t: t.rlike("(?i)canonical|refresh"))).mapInArrow(_edges, "from_url string, to_url string")
 
 
 def judge(pages: DataFrame, scratch: Scratch, rules: tuple[tuple[str, str], ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:

@@ -412,3 +412,20 @@ def test_licences_of_wrapped_and_dual_notices():
     assert sorted(f[0] for f in both if f[4]) == ["Apache-2.0", "MIT"]
     lesser = license_scan.find("Licensed under the GNU\nLesser General Public License,\nversion 3.")
     assert [f[0] for f in lesser if f[4]] == ["LGPL"]
+
+
+def test_urls_resolve_targets(spark):
+    base = "http://a/b/c/d;p?q"  # the examples of RFC 3986 5.4, without fragments
+    for ref, to in {
+        "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y",
+        "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "..": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../../g": "http://a/g", "/./g": "http://a/g",
+        "g?y/../x": "http://a/b/c/g?y/../x", "/r?u=http://x": "http://a/r?u=http://x", "mailto:g": "mailto:g",
+    }.items():
+        assert url_filter.resolve(base, ref) == to
+    assert url_filter.resolve("http://a", "g") == "http://a/g" and url_filter.resolve("http://a", "?y") == "http://a?y"
+    rows = [(1, "https://n.net/de/a/1", '<link href="../../p2.html?a=1&amp;b=2" rel="alternate canonical">'), (2, "https://n.net/p2.html?a=1&b=2", "")]
+    rows += [(3, "https://n.net/de/a/1#z", '<meta http-equiv=refresh content="0; url=https://x.com/de/9">'), (4, "https://m.net/q?r", "<link rel=canonical href='?p=2'>")]
+    rows += [(5, "https://m.net/q?p=2", '<meta content="1;URL=\'s/t\'" http-equiv="Refresh">'), (6, "https://m.net/s/t", '<link rel="canonical" href="//x.com/de/1">'), (7, "https://k.net/", '<link rel="canonical" href="/r?u=https://x.com/de/1">')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, Scratch(spark, "t")).collect()}
+    assert found == {i: "allow" if i == 7 else "block" for i in range(1, 8)}
