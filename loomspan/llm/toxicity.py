@@ -75,11 +75,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
             (pos if label else neg).update(features(text.as_py() or ""))
-    names = list(pos)  # a feature without a toxic row votes for nothing
+    names = list(pos | neg)
     for at in range(0, len(names), 50_000):
         part = names[at : at + 50_000]
         yield pa.record_batch(
-            [pa.array(part, pa.string()), pa.array([pos[n] for n in part], pa.int64())], names=["name", "pos"]
+            [pa.array(part, pa.string()), *(pa.array([c[n] for n in part], pa.int64()) for c in (pos, neg))], names=["name", "pos", "neg"]
         )
 
 
@@ -94,9 +94,12 @@ def _found(places: dict[str, int]):
     return run
 
 
-def _strength(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
-    return odds * np.sqrt(pos)
+def strongest(rows: DataFrame, n_pos: int, n_neg: int, voters: int) -> list[str]:
+    """The features of rows (text, label) that go with toxic rows, strongest first and ``voters`` at most; counts of both labels meet in Spark."""
+    counted = rows.mapInArrow(_count, "name string, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
+    able = counted.where(F.col("pos") >= LEAST_VOTES).select("name", "pos", odds.alias("odds")).where("odds > 1.5")
+    return [r["name"] for r in able.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "name").limit(voters).select("name").collect()]
 
 
 def label_model(votes: np.ndarray, seen: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +165,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 600)
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits on at most ``sample_rows`` labelled rows whose crc32(doc_id) mod 4 is not 2.
 
-    What comes to the driver is bounded by the sample and ``VOTERS``: counts of the
+    What comes to the driver is bounded by the sample and ``VOTERS``: names of the
     best features and, per sampled row, which voters it holds. Rows with a null
     label or id are left out; of a doc_id labelled twice one label is taken.
     Without labelled rows of both kinds the model gives the prior to all.
@@ -180,22 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample_rows: int
     n_pos, n_neg = kinds.get(1, 0), kinds.get(0, 0)
     if not n_pos or not n_neg:
         return Model({}, 4.0 if n_pos else -4.0)
-    counted = rows.mapInArrow(_count, "name string, pos long").groupBy("name").agg(F.sum("pos").alias("pos"))
-    first = counted.where(F.col("pos") >= LEAST_VOTES).orderBy(F.desc("pos"), "name").limit(20 * VOTERS).collect()
-    names = [r["name"] for r in first]
-    if not names:
-        return Model({}, float(np.log(n_pos / n_neg)))
-    pos = np.array([r["pos"] for r in first], float)
-    clean = rows.where("label = 0").mapInArrow(_found({n: i for i, n in enumerate(names)}), "label int, places array<int>")
-    seen = clean.select(F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("n")).collect()
-    neg = np.zeros(len(names))
-    neg[[r["place"] for r in seen]] = [r["n"] for r in seen]
-    strength = _strength(pos, neg, n_pos, n_neg)
-    odds = strength / np.sqrt(pos)
-    best = [i for i in np.lexsort((np.array(names), -strength)) if odds[i] > 1.5][:VOTERS]
+    best = strongest(rows, n_pos, n_neg, VOTERS)
     if not best:
         return Model({}, float(np.log(n_pos / n_neg)))
-    voters = {names[i]: k for k, i in enumerate(best)}
+    voters = {name: k for k, name in enumerate(best)}
     held = rows.mapInArrow(_found(voters), "label int, places array<int>").collect()
     votes = np.zeros((len(held), len(voters)), np.float32)
     for r, row in enumerate(held):

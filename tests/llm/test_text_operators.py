@@ -429,3 +429,10 @@ def test_urls_resolve_targets(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, Scratch(spark, "t")).collect()}
     assert found == {i: "allow" if i == 7 else "block" for i in range(1, 8)}
+
+
+def test_toxicity_orders_by_strength_before_the_limit(spark):
+    common = " ".join(f"w{i}" for i in range(80))
+    rows = [(f"{common} vile" if i < 3 else common, 1) for i in range(9)] + [(common, 0)] * 9
+    df = spark.createDataFrame(rows, "text string, label int")
+    assert toxicity.strongest(df, 9, 9, 1) == ["vile"] and set(toxicity.strongest(df, 9, 9, 5)) == {"vile", "vile*"}
