@@ -53,7 +53,7 @@ STAGES = [
     ("bpe", bpe),
 ]
 
-#: The fitted classifier of the first stage has no SQL form; tests hold run() against a brute-force version.
+#: The fitted classifier of the first stage has no SQL form; no test holds run() against a reference yet.
 ORACLE_SQL = None
 
 
