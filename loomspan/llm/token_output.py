@@ -161,11 +161,16 @@ class WaveletMatrix:
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> PieceEncoder:
-    """Ids by the tokenizers library. Pre-tokens are encoded by its model, once while they stay cached."""
+    """Ids by the tokenizers library. Pre-tokens are encoded by its model, once while they stay cached.
+
+    The caches are bounded and live as long as the worker process, across tasks.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
+    if library.get_vocab_size() > 1 << LEVELS:
+        raise ValueError(f"ids must fit in {LEVELS} bits")
     letters = byte_letters()
     model = library.model
 
@@ -203,7 +208,6 @@ def _write_segments(path: str, end_id: int):
                     docs, sizes, codes, n, start, segment = [], [], [], 0, start + n, segment + 1
         if docs:
             yield row()
-        coder.rest()
 
     return run
 
@@ -217,7 +221,8 @@ def write_shards(docs: DataFrame, vocabulary: str, scratch: Scratch, end_id: int
 
     Null texts count as empty and give the end id alone; null ids come first;
     rows that repeat an id stay beside each other, shorter texts first. An empty table
-    writes no segment. Segments hold whole documents, however long.
+    writes no segment. Segments hold whole documents, however long. A vocabulary with
+    ids beyond 16 bits is refused; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
