@@ -1,16 +1,19 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
 A window of T words is found through its k-grams (k = min(5, T)): of every
-T - k + 1 neighbouring k-gram hashes the least are kept as fingerprints
-(Schleimer, Wilkerson, Aiken, "Winnowing"), on both sides alike, so every
-shared run of T words shares a fingerprint. Each fingerprint carries the word
-hashes around it, enough to extend a hit to all windows that contain it, so
-no text is looked up again. Everything is per row until the join with the
-benchmark's fingerprints, which are broadcast only below a checked count.
+T - k + 1 neighbouring k-gram hashes the least, the rightmost of equal ones, is
+kept as a fingerprint (Schleimer, Wilkerson, Aiken, "Winnowing"), on both sides
+alike, so every shared run of T words shares a fingerprint. Each fingerprint of
+a document carries the word hashes around it, and a hit is extended to all
+windows that contain it, whose digests must be those of benchmark windows. Fingerprints and
+windows meet distinct ones of the benchmark, so repeated words or passages
+never multiply: a document gives each of its windows a bounded number of times.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +21,8 @@ from loomspan.llm.common import ascii_lower, let, row_count_at_most
 
 WINDOW = 10
 GRAM = 5
-#: Fingerprints of the benchmark that may be broadcast; a row is about 300 bytes.
-BROADCAST_FINGERPRINTS = 200_000
+#: Fingerprints and windows of the benchmark that may be broadcast; a row is under 100 bytes.
+BROADCAST_ROWS = 200_000
 _SPLIT = r"[\x00-/:-`{-\x7f]+"
 
 
@@ -33,28 +36,31 @@ def _hashes(text: Column) -> Column:
 
 
 def _fingerprints(h: Column, span: int) -> Column:
-    """Fingerprints of windows of ``span`` words: structs of span, gram, pos, from (start of ctx) and ctx."""
+    """Fingerprints of windows of ``span`` words: structs of span, gram, pos, from (start of ctx) and ctx.
+
+    Each window gives the rightmost of its least grams; a gram's low bits make room for its place in the window.
+    """
     k = min(GRAM, span)
     w = span - k + 1
+    bits = (w - 1).bit_length()
     n = F.greatest(F.size(h) - (k - 1), F.lit(0))
-    grams = F.transform(F.slice(h, 1, n), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)]))
+    grams = F.transform(F.slice(h, 1, n), lambda x, i: F.shiftleft(F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)]), bits))
 
-    def select(g: Column) -> Column:
-        least = F.transform(g, lambda x, i: F.least(x, *[F.get(g, i + j) for j in range(1, w)]) if w > 1 else x)
-        full = F.slice(least, 1, F.greatest(F.size(g) - (w - 1), F.lit(0)))
+    def at(m: Column, j: Column) -> Column:
+        return (j + F.lit(w - 1) - m.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))).cast("int")
 
-        def chosen(m: Column) -> Column:
-            def mark(x: Column, i: Column) -> Column:
-                windows = [F.get(m, i - j) for j in range(w)]
-                best = F.greatest(*windows) if w > 1 else windows[0]
-                start = F.greatest(i - (w - 1), F.lit(0))
-                ctx = F.slice(h, start + 1, F.lit(span + w - 1))
-                item = F.struct(F.lit(span).alias("span"), x.alias("gram"), i.alias("pos"), start.alias("from"), ctx.alias("ctx"))
-                return F.when(x == best, item)
+    def select(g: Column) -> Column:
+        placed = lambda j, o: F.get(g, j + o).bitwiseOR(F.lit(w - 1 - o).cast("long"))
+        whole = F.slice(g, 1, F.greatest(F.size(g) - (w - 1), F.lit(0)))
+        least = F.transform(whole, lambda x, j: F.least(*[placed(j, o) for o in range(w)]) if w > 1 else x)
+        chosen = F.array_distinct(F.transform(least, at))
 
-            return F.filter(F.transform(g, mark), lambda s: s.isNotNull())
+        def item(p: Column) -> Column:
+            start = F.greatest(p - (w - 1), F.lit(0))
+            ctx = F.slice(h, start + 1, F.lit(span + w - 1))
+            return F.struct(F.lit(span).alias("span"), F.get(g, p).alias("gram"), p.alias("pos"), start.alias("from"), ctx.alias("ctx"))
 
-        return let(full, chosen)
+        return F.transform(chosen, item)
 
     return let(grams, select)
 
@@ -65,7 +71,17 @@ def _marked(df: DataFrame, keys: list[str], spans: list[int]) -> DataFrame:
     return df.select(*keys, F.explode(every).alias("f")).select(*keys, "f.*")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
+def _window(words: Column, span: Column, start: Column, at: Column) -> Column:
+    """The window of ``span`` hashes from ``at`` on, as its place ``start`` and a digest of 128 bits."""
+    taken = F.slice(words, at + 1, span)
+    return F.struct(start.alias("start"), F.xxhash64(taken, F.lit(11)).alias("one"), F.xxhash64(F.lit(13), taken).alias("two"))
+
+
+def _broadcast(df: DataFrame, bound: int) -> DataFrame:
+    return F.broadcast(df) if row_count_at_most(df, bound) else df
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", bound: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A window is ``window`` consecutive words of a benchmark item; an item of
@@ -74,36 +90,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     and items_sha256 digests their ids sorted as strings and joined by commas
     (of the empty string if none). Null texts have no words; items with the
     same words all count; equal rows get equal results; a null doc_id is kept.
-    Empty tables give an empty result or no hits.
+    Empty tables give an empty result or no hits; other columns are ignored. Time
+    and memory are linear in the words of a text, repeated ones too. Benchmark fingerprints and
+    windows are broadcast up to ``bound`` rows each, else joined by a shuffle.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), _hashes(F.col(text)).alias("h")).where("size(h) > 0")
-    texts = items.groupBy("h").agg(F.xxhash64(F.first("h"), F.lit(7)).alias("text_id"))
-    names = items.select("item_id", F.xxhash64("h", F.lit(7)).alias("text_id"))
+    texts = items.select("h").distinct().select("h", F.xxhash64("h", F.lit(7)).alias("text_id"), F.least(F.size("h"), F.lit(window)).alias("span"))
     # The spans in use: at most ``window`` small numbers.
-    short = [r[0] for r in texts.where(F.size("h") < window).select(F.size("h")).distinct().collect()]
-    spans = sorted({window, *short})
-    theirs = _marked(texts.where(F.size("h") >= window), ["text_id", "h"], [window])
-    for s in short:
-        theirs = theirs.unionByName(_marked(texts.where(F.size("h") == s), ["text_id", "h"], [s]))
-    theirs = theirs.select("text_id", "span", "gram", F.col("pos").alias("item_pos"), F.col("h").alias("item"))
-    if row_count_at_most(theirs, BROADCAST_FINGERPRINTS):
-        theirs = F.broadcast(theirs)
+    spans = sorted({window, *(r[0] for r in texts.select("span").distinct().collect())})
+    theirs = reduce(DataFrame.unionByName, [_marked(texts.where(F.col("span") == s).select("h"), [], [s]) for s in spans])
+    theirs = _broadcast(theirs.select("span", "gram").distinct(), bound)
+    places = F.sequence(F.lit(0), F.size("h") - F.col("span"))
+    held = texts.select("text_id", "span", F.explode(F.transform(places, lambda s: _window(F.col("h"), F.col("span"), s, s))).alias("w"))
+    held = held.select("text_id", "span", "w.one", "w.two").distinct()
+    # Windows of the same items share one set, digested by sums, so that a passage of many items is no group in one task.
+    digest = [F.count("*").alias("n"), *[F.sum(F.xxhash64("text_id", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]]
+    windows = held.groupBy("span", "one", "two").agg(*digest).select("span", "one", "two", F.xxhash64("n", "s1", "s2").alias("set_id"))
+    first = windows.groupBy("set_id").agg(F.min(F.struct("span", "one", "two")).alias("w")).select("set_id", "w.*")
+    members = first.join(held, ["span", "one", "two"]).select("set_id", "text_id")
+    names = items.select("item_id", F.xxhash64("h", F.lit(7)).alias("text_id"))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     keyed = own.select("doc_id", F.xxhash64("text").alias("mark"), _hashes(F.col("text")).alias("h"))
-    ours = _marked(keyed.where("size(h) > 0"), ["doc_id", "mark"], spans)
-    hits = ours.join(theirs, ["span", "gram"])
-
-    def same(start: Column) -> Column:
-        there = F.slice(F.col("ctx"), start - F.col("from") + 1, F.col("span"))
-        here = F.slice(F.col("item"), start - F.col("pos") + F.col("item_pos") + 1, F.col("span"))
-        return (F.size(there) == F.col("span")) & (there == here)
-
-    low = F.greatest(F.col("from"), F.col("pos") - F.col("item_pos"))
-    starts = F.filter(F.sequence(low, F.greatest(low, F.col("pos"))), same)
-    found = hits.select("doc_id", "mark", "text_id", "span", F.explode(starts).alias("start")).distinct()
+    hits = _marked(keyed.where("size(h) > 0"), ["doc_id", "mark"], spans).join(theirs, ["span", "gram"], "left_semi")
+    starts = F.filter(F.sequence("from", "pos"), lambda s: s + F.col("span") <= F.col("from") + F.size("ctx"))
+    own_windows = F.transform(starts, lambda s: _window(F.col("ctx"), F.col("span"), s, s - F.col("from")))
+    near = hits.select("doc_id", "mark", "span", F.explode(own_windows).alias("w")).select("doc_id", "mark", "span", "w.*")
+    found = near.join(_broadcast(windows, bound), ["span", "one", "two"])
     one = found.groupBy("doc_id", "mark").agg(
-        F.sort_array(F.collect_set(F.struct("start", "span"))).alias("runs"), F.collect_set("text_id").alias("text_ids")
+        F.sort_array(F.collect_set(F.struct("start", "span"))).alias("runs"), F.sort_array(F.collect_set("set_id")).alias("sets")
     )
     n_hit = F.aggregate(
         "runs",
@@ -114,16 +129,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
         ),
         lambda a: a["n"].cast("long"),
     )
-    named = (
-        one.select("doc_id", "mark", n_hit.alias("n_hit"), F.explode("text_ids").alias("text_id"))
+    one = one.select("doc_id", "mark", n_hit.alias("n_hit"), "sets", F.xxhash64("sets").alias("sets_id"))
+    # Documents with the same sets have the same items: their ids are listed and digested once.
+    listed = (
+        one.select("sets_id", F.explode("sets").alias("set_id")).distinct()
+        .join(members, "set_id")
         .join(names, "text_id")
-        .groupBy("doc_id", "mark")
-        .agg(F.max("n_hit").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("ids"))
-        .select(
-            F.col("doc_id").alias("hit_doc"), F.col("mark").alias("hit_mark"), "n_hit",
-            F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"),
-        )
+        .groupBy("sets_id")
+        .agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
+        .select("sets_id", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
     )
+    named = one.join(listed, "sets_id").select(F.col("doc_id").alias("hit_doc"), F.col("mark").alias("hit_mark"), "n_hit", "n_items", "items_sha256")
     total = own.select("doc_id", F.xxhash64("text").alias("mark"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     joined = total.join(named, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("mark") == F.col("hit_mark")), "left")
     return joined.select(
