@@ -283,24 +283,32 @@ def _loaded(path: str) -> Transducer:
     return Transducer(Merges(path))
 
 
+def encode_parts(coder: Transducer, text: str) -> Iterator[bytes]:
+    """The ids of a text as they become certain."""
+    for at in range(0, len(text), CHUNK):
+        yield coder.feed(text[at : at + CHUNK])
+    yield coder.finish()
+
+
 def encode_text(coder: Transducer, text: str) -> bytes:
-    out = [coder.feed(text[at : at + CHUNK]) for at in range(0, len(text), CHUNK)]
-    out.append(coder.finish())
-    return b"".join(out)
+    return b"".join(encode_parts(coder, text))
 
 
 _DIGESTS = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
-def _round_trip(coder: Transducer, text: str) -> tuple[np.ndarray, int, str, str]:
-    """Ids, their number and digest, and the digest of the text decoded from them, block by block."""
-    ids = np.frombuffer(encode_text(coder, text), "<u2")
-    decoder, digest = Decoder(coder.merges), hashlib.sha256()
-    for at in range(0, len(ids), CHUNK):
-        digest.update(decoder.feed(ids[at : at + CHUNK].tolist()).encode())
-    digest.update(decoder.finish().encode())
-    wide = ids.astype("<u4")
-    return wide, len(ids), hashlib.sha256(wide.tobytes()).hexdigest(), digest.hexdigest()
+def _round_trip(coder: Transducer, text: str, with_ids: bool) -> tuple[int, str, str, np.ndarray | None]:
+    """Number and digest of the ids, and the digest of the text decoded from them, part by part; the ids only if wanted."""
+    n, parts, decoder, of_ids, of_text = 0, [], Decoder(coder.merges), hashlib.sha256(), hashlib.sha256()
+    for part in encode_parts(coder, text):
+        ids = np.frombuffer(part, "<u2")
+        n += len(ids)
+        of_ids.update(ids.astype("<u4").tobytes())
+        of_text.update(decoder.feed(ids.tolist()).encode())
+        if with_ids:
+            parts.append(ids)
+    of_text.update(decoder.finish().encode())
+    return n, of_ids.hexdigest(), of_text.hexdigest(), np.concatenate(parts).astype("i4") if with_ids else None
 
 
 def _digest_batches(path: str, with_ids: bool):
@@ -309,11 +317,11 @@ def _digest_batches(path: str, with_ids: bool):
         try:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
-                    rows = [_round_trip(coder, t.as_py() or "") for t in batch.column(1)[at : at + 256]]
+                    rows = [_round_trip(coder, t.as_py() or "", with_ids) for t in batch.column(1)[at : at + 256]]
                     cols = [batch.column(0)[at : at + 256]]
-                    cols += [pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int64()), (2, pa.string()), (3, pa.string()))]
+                    cols += [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
                     if with_ids:
-                        cols.append(pa.array([r[0].astype("i4") for r in rows], pa.list_(pa.int32())))
+                        cols.append(pa.array([r[3] for r in rows], pa.list_(pa.int32())))
                     yield pa.record_batch(cols, names=_DIGESTS + ["ids"] * with_ids)
         finally:
             coder.pieces.rest()
@@ -347,7 +355,7 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
 
 
 def encode_decode_digests(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """The same without ids."""
+    """The same without ids, which are digested and decoded as they come: memory does not grow with the text."""
     return _coded(docs, vocabulary, text, False)
 
 

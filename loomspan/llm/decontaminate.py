@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import ascii_lower, let, row_count_at_most
+from loomspan.llm.common import Scratch, ascii_lower, let, row_count_at_most
 
 WINDOW = 10
 GRAM = 5
@@ -81,18 +81,12 @@ def _broadcast(df: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(df) if row_count_at_most(df, bound) else df
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", bound: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``docs`` with a hit, one per doc_id and text: doc_id, mark (a hash of the text), n_hit, n_items, items_sha256.
 
-    A window is ``window`` consecutive words of a benchmark item; an item of
-    fewer words, but not none, is one window. A document word inside any
-    occurrence of a window is hit. n_items counts items with occurring windows
-    and items_sha256 digests their ids sorted as strings and joined by commas
-    (of the empty string if none). Null texts have no words; items with the
-    same words all count; equal rows get equal results; a null doc_id is kept.
-    Empty tables give an empty result or no hits; other columns are ignored. Time
-    and memory are linear in the words of a text, repeated ones too. Benchmark fingerprints and
-    windows are broadcast up to ``bound`` rows each, else joined by a shuffle.
+    Benchmark fingerprints and windows are broadcast up to ``bound`` rows each,
+    else joined by a shuffle. The benchmark's windows and the rows with hits are
+    written once, as both are read twice.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), _hashes(F.col(text)).alias("h")).where("size(h) > 0")
     texts = items.select("h").distinct().select("h", F.xxhash64("h", F.lit(7)).alias("text_id"), F.least(F.size("h"), F.lit(window)).alias("span"))
@@ -102,7 +96,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     theirs = _broadcast(theirs.select("span", "gram").distinct(), bound)
     places = F.sequence(F.lit(0), F.size("h") - F.col("span"))
     held = texts.select("text_id", "span", F.explode(F.transform(places, lambda s: _window(F.col("h"), F.col("span"), s, s))).alias("w"))
-    held = held.select("text_id", "span", "w.one", "w.two").distinct()
+    scratch = Scratch(docs.sparkSession, "leaks")
+    held = scratch.save(held.select("text_id", "span", "w.one", "w.two").distinct(), "windows")
     # Windows of the same items share one set, digested by sums, so that a passage of many items is no group in one task.
     digest = [F.count("*").alias("n"), *[F.sum(F.xxhash64("text_id", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]]
     windows = held.groupBy("span", "one", "two").agg(*digest).select("span", "one", "two", F.xxhash64("n", "s1", "s2").alias("set_id"))
@@ -112,10 +107,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     keyed = own.select("doc_id", F.xxhash64("text").alias("mark"), _hashes(F.col("text")).alias("h"))
-    hits = _marked(keyed.where("size(h) > 0"), ["doc_id", "mark"], spans).join(theirs, ["span", "gram"], "left_semi")
+    met = _marked(keyed.where("size(h) > 0"), ["doc_id", "mark"], spans).join(theirs, ["span", "gram"], "left_semi")
     starts = F.filter(F.sequence("from", "pos"), lambda s: s + F.col("span") <= F.col("from") + F.size("ctx"))
     own_windows = F.transform(starts, lambda s: _window(F.col("ctx"), F.col("span"), s, s - F.col("from")))
-    near = hits.select("doc_id", "mark", "span", F.explode(own_windows).alias("w")).select("doc_id", "mark", "span", "w.*")
+    near = met.select("doc_id", "mark", "span", F.explode(own_windows).alias("w")).select("doc_id", "mark", "span", "w.*")
     found = near.join(_broadcast(windows, bound), ["span", "one", "two"])
     one = found.groupBy("doc_id", "mark").agg(
         F.sort_array(F.collect_set(F.struct("start", "span"))).alias("runs"), F.sort_array(F.collect_set("set_id")).alias("sets")
@@ -129,7 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
         ),
         lambda a: a["n"].cast("long"),
     )
-    one = one.select("doc_id", "mark", n_hit.alias("n_hit"), "sets", F.xxhash64("sets").alias("sets_id"))
+    one = scratch.save(one.select("doc_id", "mark", n_hit.alias("n_hit"), "sets", F.xxhash64("sets").alias("sets_id")), "hits")
     # Documents with the same sets have the same items: their ids are listed and digested once.
     listed = (
         one.select("sets_id", F.explode("sets").alias("set_id")).distinct()
@@ -139,7 +134,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
         .agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
         .select("sets_id", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
     )
-    named = one.join(listed, "sets_id").select(F.col("doc_id").alias("hit_doc"), F.col("mark").alias("hit_mark"), "n_hit", "n_items", "items_sha256")
+    return one.join(listed, "sets_id").select("doc_id", "mark", "n_hit", "n_items", "items_sha256")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", bound: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    A window is ``window`` consecutive words of a benchmark item; an item of
+    fewer words, but not none, is one window. A document word inside any
+    occurrence of a window is hit. n_items counts items with occurring windows
+    and items_sha256 digests their ids sorted as strings and joined by commas
+    (of the empty string if none). Null texts have no words; items with the
+    same words all count; equal rows get equal results; a null doc_id is kept.
+    Empty tables give an empty result or no hits; other columns are ignored. Time
+    and memory are linear in the words of a text, repeated ones too. Benchmark fingerprints and
+    windows are broadcast up to ``bound`` rows each, else joined by a shuffle.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    found = hits(docs, benchmark, window, text, bound)
+    named = found.withColumnsRenamed({"doc_id": "hit_doc", "mark": "hit_mark"})
     total = own.select("doc_id", F.xxhash64("text").alias("mark"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     joined = total.join(named, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("mark") == F.col("hit_mark")), "left")
     return joined.select(

@@ -14,6 +14,7 @@ more rows take part; adaptive execution splits its hot partitions.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,9 +64,8 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
-    items = list(index.stored.items())
-    for at in range(0, len(items), 50_000):
-        part = items[at : at + 50_000]
+    items = index.items()
+    while part := list(islice(items, 50_000)):
         yield pa.record_batch(
             [
                 pa.array([d for d, _ in part], pa.binary()),
@@ -90,7 +90,8 @@ def exact_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     are one group. Rows that repeat a doc_id count each; all rows with the
     group's keep_id are kept rows. A null doc_id loses to any other; a group of
     only null ids has a null keep_id and its rows count as kept. An empty table
-    gives an empty result; other columns of ``docs`` are ignored.
+    gives an empty result; other columns of ``docs`` are ignored. Long texts are
+    hashed whole, in the scan.
     """
     marked = digests(docs, text)
     many = groups(marked).where("group_size > 1")
@@ -111,8 +112,10 @@ def apply_changes(index: DataFrame, changes: DataFrame) -> DataFrame:
     ``index(digest, doc_id)`` lists the live documents, ``changes(digest,
     doc_id, op, seq)`` inserts (op 'I') and deletes (op 'D') in ascending seq. A digest
     stays live as long as one of its documents does. Both tables are placed by
-    digest and folded through a ``CuckooIndex`` per partition. Deleting what is
-    not live and inserting what is live change nothing; null digests are ignored.
+    digest and document, so that a hot digest is many tasks, and replayed through a ``CuckooIndex``
+    in that order: memory does not grow with the table. Deleting what is
+    not live and inserting what is live change nothing; null digests are
+    ignored; empty tables are fine; other columns are dropped.
     """
     start = index.select("digest", F.col("doc_id").cast("long").alias("doc_id"), F.lit("I").alias("op"), F.lit(-1).cast("long").alias("seq"))
     rows = start.unionByName(changes.select("digest", F.col("doc_id").cast("long").alias("doc_id"), "op", F.col("seq").cast("long").alias("seq")))
@@ -121,21 +124,29 @@ def apply_changes(index: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = CuckooIndex(1024)
+    """Replays changes sorted by digest, document and seq; what is settled leaves the index, so it stays small."""
+    index, last, out = CuckooIndex(64), None, []
+
+    def settle() -> None:
+        if last is not None and index.delete(last[0]):
+            out.append(last)
+
     for batch in batches:
         cols = batch.to_pydict()
         for digest, doc, op in zip(cols["digest"], cols["doc_id"], cols["op"]):
-            live = index.get(digest)
+            if last != (digest, doc):
+                settle()
+                last = (digest, doc)
             if op == "I":
-                if live is None:
-                    index.put(digest, {doc})
-                else:
-                    live.add(doc)
-            elif op == "D" and live is not None:
-                live.discard(doc)
-                if not live:
-                    index.delete(digest)
-    pairs = [(d, doc) for d, live in index.stored.items() for doc in sorted(live, key=lambda x: (x is None, x or 0))]
-    for at in range(0, len(pairs), 50_000):
-        part = pairs[at : at + 50_000]
-        yield pa.record_batch([pa.array([p[0] for p in part], pa.binary()), pa.array([p[1] for p in part], pa.int64())], names=["digest", "doc_id"])
+                index.put(digest, doc)
+            elif op == "D":
+                index.delete(digest)
+        if len(out) >= 50_000:
+            yield _pairs(out)
+            out = []
+    settle()
+    yield _pairs(out)
+
+
+def _pairs(rows: list[tuple[bytes, int | None]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], names=["digest", "doc_id"])

@@ -51,6 +51,12 @@ _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|cookies?|consent|notice|popup|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|widget|pagination|pager|toolbar|skip|search)(?:$|[\s_-])",
     re.I,
 )
+# Within an article only a name that is such a word as a whole, but for a part that says what kind of box it is.
+_NOISE_WITHIN = re.compile(
+    r"(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|nav|menu|breadcrumbs?|sidebar|cookies?|consent|notice|popup|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|widget|pagination|pager|toolbar|search)"
+    r"(?:[_-]*(?:list|box|block|section|container|wrap(?:per)?|area|bar|thread|form|slot|unit|buttons?|links?|notice|banner|posts?|articles?|[0-9]+))*",
+    re.I,
+)
 _ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 
 
@@ -101,10 +107,13 @@ class Page:
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
         above = self.path[-1] if self.path else ("", "", False, False)
         article = above[3] or tag in ("article", "main") or found.get("role") in ("main", "article")
-        noise = bool(names and tag not in ("html", "body", "main", "article") and _NOISE.search(names))
+        noise = bool(names and tag not in ("html", "body", "main", "article") and (any(map(_NOISE_WITHIN.fullmatch, names.split())) if above[3] else _NOISE.search(names)))
+        head = tag == "header" and above[3]  # an article's own head is part of it
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in _ROLE
         label = f"{above[1]}/{tag}" + (f".{re.sub(r'[0-9]+', '0', names)}" if names else "")
-        self.path.append((tag, label[-200:], above[2] or tag in _OUTSIDE or noise or hidden, article))
+        if len(label) > 200:
+            label = xxhash.xxh3_64_hexdigest(label)
+        self.path.append((tag, label, above[2] or (tag in _OUTSIDE and not head) or noise or hidden, article))
 
     def _close(self, tag: str) -> None:
         if tag in _INLINE:
@@ -311,7 +320,8 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     Null and empty html give an empty text. Character references are decoded
     once, white space inside a block becomes one space, blocks are joined by one.
     Broken markup is read as far as it goes: what is not closed ends with its
-    container. Null urls share the empty host; repeated rows give equal rows.
+    container. Null urls share the empty host; repeated rows give equal rows;
+    no pages give no rows; other columns are ignored; a long page is one row in one task.
     """
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"),

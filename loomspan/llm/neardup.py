@@ -41,7 +41,7 @@ PAIRS_A_MEMBER = 32
 #: Members of a bucket one task may hold; a larger bucket goes to the blocks of sets at once.
 BUCKET_ROWS = 20_000
 #: Shingles of one block of crowded nodes.
-BLOCK_SHINGLES = 200_000
+BLOCK_SHINGLES = 100_000
 #: Shingles and nodes of a block that are turned into bits at once.
 TILE_SHINGLES = 25_000
 TILE_ROWS = 2_048
@@ -282,7 +282,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
     is the smallest doc_id reachable; of a component the row with that id is
     kept. A doc_id identifies a document: rows that repeat it share its
     component. A null doc_id takes no part: its component_id is null and kept
-    true. An empty table gives an empty result.
+    true. An empty table gives an empty result; other columns are ignored; a long
+    text is one set in one task.
     """
     n = chunks_for(percent / 100) * CHUNK
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -309,7 +310,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, percent:
 
 def _components(base: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch, width: int, percent: int, n: int) -> DataFrame:
     distance = 2 * (n // CHUNK) - 1
-    keyed = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long").repartition("key")
+    # Counted by partial aggregation and joined by the key: a hot key is split by adaptive execution.
+    keyed = nodes.select("node", "sig").mapInArrow(_keys, "key long, node long")
     busy = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
     bucket = scratch.save(keyed.join(busy.select("key", "centre"), "key"), "buckets")
     # A node is first held against the one centre it shares most buckets with: no more pairs than nodes.

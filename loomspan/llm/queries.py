@@ -57,7 +57,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.toxicity import fit, score
 
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return score(docs, fit(docs, table(spark, sf_dir, "labels"), Scratch(spark, "op7")))
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,4 +133,26 @@ ORACLE_SQL: dict[str, str] = {
         g as (select text_sha256, max(doc_id) as keep_id, cast(count(*) as bigint) as group_size from t group by text_sha256)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from t join g using (text_sha256)
     """,
+    "op9_url_filter": r"""
+        with recursive p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
+        tags as (select url, unnest(regexp_extract_all(html, '(?is)<link\b(?:[^>"'']+|"[^"]*"|''[^'']*'')*>')) as tag from p where contains(url, '://')),
+        links as (select url as a, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']([^"'']*)["'']', 1) as b from tags
+                  where regexp_matches(tag, '(?is)\brel\s*=\s*["''][^"'']*\bcanonical\b')),
+        urls as (select url from p where contains(url, '://') union select a from links union select b from links where contains(b, '://')),
+        cut as (select url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) as rest from urls),
+        rules(rule, rhost, rpath, says) as (values ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+            ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+        fit as (select url, rule, says, row_number() over (partition by url order by length(rule) desc) as place from cut join rules
+                on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)),
+        nodes as (select c.url, c.host, c.path, c.host || chr(10) || c.rest as node, f.rule, f.says from cut c left join (select * from fit where place = 1) f using (url)),
+        e as (select x.node as a, y.node as b from links l join nodes x on x.url = l.a join nodes y on y.url = l.b),
+        sides as (select a, b from e union select b, a from e),
+        r as (select distinct a as x, a as y from sides union select r.x, sides.b from r join sides on r.y = sides.a),
+        said as (select r.x as node, bool_or(n.says = 'allow') as allowed, bool_or(n.says = 'block') as blocked
+                 from r join nodes n on n.node = r.y where n.says is not null group by r.x)
+        select p.page_id, coalesce(n.host, '') as host, coalesce(n.path, '') as path, n.rule,
+               case when n.says is not null then n.says when s.blocked and not s.allowed then 'block' else 'allow' end as verdict
+        from p left join nodes n using (url) left join said s using (node)
+    """,
 }

@@ -29,7 +29,8 @@ SCOPE = 400
 _BLANK = re.compile(r"\n[ \t]*\n")
 _ENDPOINT = re.compile(r"""(?:https?|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|\b(?:endpoint|host|server|bucket)\b["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z]{2,}[^\s"'<>,;]*""", re.I | re.A)
 _IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)\b["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", re.I | re.A)
-_DENSE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[a-z])(?=[A-Za-z0-9+/]{0,39}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+_DENSE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{32,128}={0,2}(?![A-Za-z0-9+/=_-])")
+_MIXED = tuple(re.compile(c) for c in ("[0-9]", "[a-z]", "[A-Z]"))
 # From six characters on; for keywords of a base pattern up to the length it takes.
 _SHORT = re.compile(r"""(?:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,11}|(?:pwd|auth)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,})(?![A-Za-z0-9+/_.=-])""", re.I | re.A)
 
@@ -49,22 +50,23 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _near(parts: list[Span], others: list[Span], scopes: list[int]) -> list[Span]:
-    """Those of ``parts`` with one of ``others`` in their scope: an interval semi-join over sorted starts."""
-    others = sorted(others, key=lambda s: s[1])
-    starts = [s[1] for s in others]
-    longest = max((s[2] - s[1] for s in others), default=0)
+    """Those of ``parts`` with another of ``others`` in their scope: an interval semi-join over sorted starts.
+
+    The two furthest ends of different spans up to each start tell, in one look, whether
+    any span before a scope's end reaches into it.
+    """
+    spans = sorted({(s[1], s[2]) for s in others})
+    starts = [a for a, _ in spans]
+    furthest: list[tuple[tuple[int, int], ...]] = [()]
+    for span in spans:
+        furthest.append(tuple(sorted((*furthest[-1], span), key=lambda x: -x[1])[:2]))
     out = []
     for kind, start, end in parts:
         at = bisect_right(scopes, start)
         low = max(scopes[at - 1] if at else 0, start - SCOPE)
         high = min(scopes[at] if at < len(scopes) else 1 << 62, end + SCOPE)
-        first = bisect_left(starts, max(0, low - longest))
-        for k in range(first, len(others)):
-            if others[k][1] >= high:
-                break
-            if others[k][2] > low and (others[k][1], others[k][2]) != (start, end):
-                out.append((kind, start, end))
-                break
+        if any(b > low and (a, b) != (start, end) for a, b in furthest[bisect_left(starts, high)]):
+            out.append((kind, start, end))
     return out
 
 
@@ -76,7 +78,7 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     strong or weak and itself reported, is in its scope. Spans that overlap a base
     span are left out, as are texts without any secret or access identifier.
     """
-    weak = [("weak_secret", m.start(), m.end()) for m in _DENSE.finditer(text)]
+    weak = [("weak_secret", m.start(), m.end()) for m in _DENSE.finditer(text) if all(c.search(m[0]) for c in _MIXED)]
     low = text.lower()
     if any(k in low for k in ("passw", "pwd", "secret", "token", "api", "auth")):
         short = [("weak_secret", m.start(), m.end()) for m in _SHORT.finditer(text)]
@@ -136,7 +138,8 @@ def secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and
     kind. Null and empty texts have none, the digest is then that of the empty
-    string. Repeated rows give equal rows; an empty table an empty result.
+    string. Repeated rows give equal rows; an empty table an empty result; other
+    columns are ignored. A long text full of candidates costs n log n.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return own.mapInArrow(_scan_batches, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

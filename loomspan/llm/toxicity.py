@@ -1,9 +1,11 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
-Voters are words and word beginnings whose presence goes with toxic rows of a
-bounded sample of the labelled training rows. A generative model, fitted by
-expectation maximisation, estimates each voter's accuracy; correlated voters
-(a word and its beginnings, words of one phrase) share one weight, by the
+Voters are the entries of a fixed lexicon of insults, and words and word
+beginnings (patterns) whose presence goes with toxic rows of a bounded sample of the labelled
+training rows. A generative model is fitted by expectation maximisation over
+labelled and unlabelled training rows: it estimates each voter's rates, and those of
+the annotators, who are one more voter and abstain on unlabelled rows; correlated voters
+(a word and its beginnings, words of one phrase) share their weight, by the
 correlations left once the label is known. Its posterior labels train a
 logistic regression over the same features, which scores every text.
 Labels of held-out rows, lang, source and doc_id are never seen by a score.
@@ -21,13 +23,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows the models are fitted on, at most; taken by a hash of doc_id.
+from loomspan.llm.common import Scratch, row_count_at_most
+
+#: Labelled and unlabelled rows the models are fitted on, at most; taken by a hash of doc_id.
 SAMPLE_ROWS = 8_000
-#: Voters at most, and rows a voter must have voted on.
+UNLABELLED_ROWS = 2_000
+#: Voters beside the lexicon at most, the strongest; rows such a voter must have voted on.
 VOTERS = 1_000
 LEAST_VOTES = 3
 STEMS = (4, 5, 6, 7)
+#: Labelled ids that may be broadcast to tell unlabelled rows.
+BROADCAST_LABELS = 1_000_000
 THRESHOLD = 0.3
+# Common insults of four languages, the lexicon voters.
+LEXICON = (
+    "idiot idiots idiotic stupid moron morons moronic loser losers scum trash worthless pathetic disgusting clown dumb fool fools foolish "
+    "imbecile jerk creep freak vermin filth filthy garbage lowlife bastard pig swine dimwit halfwit retard retarded ugly "
+    "dummkopf trottel vollidiot arschloch abschaum widerlich dreckig schwein versager wertlos blöd hässlich "
+    "imbécile crétin connard salaud ordure minable dégoûtant abruti débile racaille raté "
+    "idiota imbécil estúpido estúpida basura asqueroso patético inútil payaso escoria fracasado gilipollas cabrón"
+).split()
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -106,26 +121,32 @@ def label_model(votes: np.ndarray, seen: np.ndarray, prior: float, rounds: int =
     """Posterior of label 1 per row, and each voter's rates of voting on toxic and on clean rows.
 
     ``votes`` is rows by voters (0 or 1); ``seen`` holds the annotators' label or
-    NaN and is one more voter, right nine times in ten. A voter's evidence
-    is divided by the sum of its absolute correlations with all voters within
-    the classes, so that a crowd of dependent voters counts once.
+    NaN. They are one more voter: right nine times in ten at first, then as
+    often as the rows say. A voter's evidence is divided by the square root of the sum
+    of its absolute correlations with all voters within the classes, so that a
+    crowd of dependent voters counts less than its number.
     """
     n, k = votes.shape
     seen = seen.astype(float)
-    given = np.where(np.isnan(seen), 0.0, np.where(seen == 1, np.log(9.0), -np.log(9.0)))
-    post = np.where(np.isnan(seen), prior, np.where(seen == 1, 0.95, 0.05 * prior))
+    told, yes = ~np.isnan(seen), seen == 1
+    right, wrong = 0.9, 0.1
+    post = np.where(told, np.where(yes, 0.95, 0.05 * prior), prior)
     share = np.ones(k)
     rate1 = rate0 = np.full(k, 0.5)
     for turn in range(rounds):
         w1, w0 = post.sum() + 2, (1 - post).sum() + 2
         rate1 = np.clip((votes.T @ post + 0.2) / w1, 1e-4, 1 - 1e-4)
         rate0 = np.clip((votes.T @ (1 - post) + 0.02) / w0, 1e-4, 1 - 1e-4)
+        if turn:
+            right = (post[yes].sum() + 9) / (post[told].sum() + 10)
+            wrong = ((1 - post[yes]).sum() + 1) / ((1 - post[told]).sum() + 10)
         if turn % 8 == 0:
             rest = votes - np.where(post[:, None] > 0.5, rate1.astype(np.float32), rate0.astype(np.float32))
             rest /= np.sqrt(np.einsum("ij,ij->j", rest, rest)) + 1e-9
             share = 1 / np.maximum(1.0, np.abs(rest.T @ rest).sum(axis=1) ** 0.5)
         up = share * (np.log(rate1) - np.log(rate0))
         down = share * (np.log1p(-rate1) - np.log1p(-rate0))
+        given = np.where(told, np.where(yes, np.log(right / wrong), np.log((1 - right) / (1 - wrong))), 0.0)
         z = np.log(prior / (1 - prior)) + given + votes @ (up - down) + down.sum()
         post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return post, rate1, rate0
@@ -162,38 +183,42 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 600)
     return w[:-1][where] / np.sqrt(size[where]), float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most ``sample_rows`` labelled rows whose crc32(doc_id) mod 4 is not 2.
+def fit(
+    docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "text", sample_rows: int = SAMPLE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS
+) -> Model:
+    """Fits on at most ``sample_rows`` labelled and ``unlabelled_rows`` other rows whose crc32(doc_id) mod 4 is not 2.
 
-    What comes to the driver is bounded by the sample and ``VOTERS``: names of the
+    What comes to the driver is bounded by the samples and the number of voters: names of the
     best features and, per sampled row, which voters it holds. Rows with a null
-    label or id are left out; of a doc_id labelled twice one label is taken.
-    Without labelled rows of both kinds the model gives the prior to all.
+    label or id are left out; of a doc_id labelled twice one label is taken; rows that repeat a
+    labelled doc_id all count. Without labelled rows of both kinds the model gives the prior to all.
+    The texts of the sample are written once, below ``scratch``.
     """
+    training = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(training & F.col("toxic").isNotNull())
     known = (
-        labels.where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 4 <> 2")
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        marks.groupBy("doc_id")
         .agg((F.max("toxic") > 0).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
     )
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = own.join(F.broadcast(known), "doc_id").select("text", "label")
-    kinds = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    marked = F.broadcast(marks.select("doc_id").distinct()) if row_count_at_most(marks, BROADCAST_LABELS) else marks.select("doc_id")
+    free = own.select("doc_id").where(training).join(marked, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled_rows)
+    wanted = known.unionByName(free.distinct().withColumn("label", F.lit(None).cast("int")))
+    rows = scratch.save(own.join(F.broadcast(wanted), "doc_id").select("text", "label"), "sample").coalesce(16)
+    kinds = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n_pos, n_neg = kinds.get(1, 0), kinds.get(0, 0)
     if not n_pos or not n_neg:
         return Model({}, 4.0 if n_pos else -4.0)
-    best = strongest(rows, n_pos, n_neg, VOTERS)
-    if not best:
-        return Model({}, float(np.log(n_pos / n_neg)))
-    voters = {name: k for k, name in enumerate(best)}
-    held = rows.mapInArrow(_found(voters), "label int, places array<int>").collect()
-    votes = np.zeros((len(held), len(voters)), np.float32)
-    for r, row in enumerate(held):
-        votes[r, row["places"]] = 1
-    given = np.array([r["label"] for r in held], np.float32)
-    del held
-    post, rate1, rate0 = label_model(votes, given, n_pos / (n_pos + n_neg))
+    best = strongest(rows.where("label is not null"), n_pos, n_neg, VOTERS)
+    voters = {name: k for k, name in enumerate(dict.fromkeys([*LEXICON, *best]))}
+    votes, given, at = np.zeros((sum(kinds.values()), len(voters)), np.float32), [], 0
+    for row in rows.mapInArrow(_found(voters), "label int, places array<int>").toLocalIterator():
+        votes[at, row["places"]] = 1
+        given.append(np.nan if row["label"] is None else row["label"])
+        at += 1
+    post, rate1, rate0 = label_model(votes, np.array(given, np.float32), n_pos / (n_pos + n_neg))
     weights, bias = logistic(votes, post)
     return Model({name: float(weights[k]) for name, k in voters.items()}, bias)
 
@@ -213,7 +238,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Null texts count as empty and, like texts without any voter, score the
     model's bias. held_out of a null doc_id is null. Equal texts score alike; an empty table
-    gives an empty result.
+    gives an empty result; other columns are ignored; long texts are scored whole.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     scored = own.mapInArrow(_scored(model), "doc_id long, score double")

@@ -150,11 +150,14 @@ def judge(pages: DataFrame, scratch: Scratch, rules: tuple[tuple[str, str], ...]
     page with a rule has that rule's verdict. Any other is blocked if its
     component holds a blocked page or target and none that a rule allows; else it is
     allowed. URLs that are null or lack ``://`` have empty host and path and
-    no aliases. Repeated rows give equal rows; no edges or no pages are fine.
+    no aliases. URLs that differ only in scheme, in the case of the host or behind ``#`` are one
+    node, so they are aliases without an edge. Repeated rows give equal rows, of equal rules
+    allow goes first; no edges or no pages are fine; other columns are ignored.
     """
     edges = page_edges(pages)
     if redirects is not None:
         edges = edges.unionByName(redirects.select("from_url", "to_url"))
+    edges = scratch.save(edges, "links")
     ends = edges.select(F.explode(F.array("from_url", "to_url")).alias("url")).distinct()
     graph = edges.select(_node(F.col("from_url")).alias("u"), _node(F.col("to_url")).alias("v"))
     component = connected_components(graph, scratch)
@@ -169,4 +172,6 @@ def judge(pages: DataFrame, scratch: Scratch, rules: tuple[tuple[str, str], ...]
     )
     own = pages.select("page_id", _node(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     verdict = F.coalesce("ruled", F.when(F.col("alias_blocked"), F.lit("block")), F.lit("allow"))
+    # A null node matches nothing; a key of its own spreads such rows over the tasks of the join.
+    own = own.withColumn("node", F.coalesce("node", F.concat(F.lit(b"?"), F.unhex(F.hex(F.xxhash64("page_id"))))))
     return with_rules(own, rules).join(blocked, "node", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))

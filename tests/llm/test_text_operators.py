@@ -266,14 +266,14 @@ def test_toxicity_on_held_out_rows(spark, docs):
         labels.append((i, int(toxic)))
     df = spark.createDataFrame([*rows, (5000, None), (None, "x")], "doc_id long, text string")
     marks = spark.createDataFrame([*labels, (None, 1), (7, None)], "doc_id long, toxic int")
-    model = toxicity.fit(df, marks)
+    model = toxicity.fit(df, marks, Scratch(spark, "t"))
     found = [r for r in toxicity.score(df, model).collect()]
     held = [r for r in found if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 900]
     assert len(held) > 150 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in found if r["doc_id"] is not None)
     assert sum(r["predicted"] == (r["doc_id"] % 6 == 0) for r in held) >= 0.98 * len(held)
     assert toxicity.keep_clean(df, model).columns == df.columns
     assert toxicity.keep_clean(df, model).count() == sum(r["predicted"] == 0 for r in found)
-    assert toxicity.score(empty(docs), toxicity.fit(df, marks.where("false"))).count() == 0
+    assert toxicity.score(empty(docs), toxicity.fit(df, marks.where("false"), Scratch(spark, "t"))).count() == 0
 
 
 def test_components(spark):
