@@ -49,3 +49,34 @@ def merge(log: DataFrame, keys: list[str], value: str, how: str | Column = "take
 def last_update(log: DataFrame, ts: str = "ts") -> object:
     """The latest time in the log, or None."""
     return log.agg(F.max(ts)).first()[0]
+
+
+def add_delta(log: DataFrame, rows: DataFrame, at: object, op: str = "U", ts: str = "ts") -> DataFrame:
+    """The log with ``rows`` (keys and values) as changes of the time ``at``; of deletes the values may be missing."""
+    if op not in ("U", "D"):
+        raise EngineError(f"Unknown change {op}")
+    made = rows.withColumns({ts: F.lit(at).cast(log.schema[ts].dataType), "op": F.lit(op)})
+    return log.unionByName(made, allowMissingColumns=op == "D").select(log.columns)
+
+
+def keys_upto(log: DataFrame, keys: list[str], at: object, ts: str = "ts") -> DataFrame:
+    """Keys changed up to and including ``at``."""
+    return log.where(F.col(ts) <= F.lit(at)).select(*keys).distinct()
+
+
+def keys_between(log: DataFrame, keys: list[str], low: object, high: object, ts: str = "ts") -> DataFrame:
+    """Keys changed at low <= ts < high."""
+    return diffs(log, low, high, ts).select(*keys).distinct()
+
+
+def read_key(log: DataFrame, key: dict[str, object], at: object, ts: str = "ts") -> DataFrame:
+    """The last change of one key up to and including ``at``: one row, or none."""
+    found = log.where(F.col(ts) <= F.lit(at))
+    for column, value in key.items():
+        found = found.where(F.col(column) == F.lit(value))
+    return _latest(found, list(key), ts)
+
+
+def outdated(containers: dict[str, DataFrame], watermark: object, ts: str = "ts") -> list[str]:
+    """Names of the logs that have rows and were last changed before ``watermark``; one number each comes to the driver."""
+    return [name for name, log in containers.items() if (last := last_update(log, ts)) is not None and last < watermark]

@@ -85,3 +85,17 @@ def aggregate(df: DataFrame, group_by: list[str], aggs: list[tuple[str, str, str
             raise EngineError("Nothing to aggregate")
         return df.select(*group_by).distinct()
     return df.groupBy(*group_by).agg(*made)
+
+
+def delete(df: DataFrame, condition: str) -> DataFrame:
+    """The rows for which ``condition`` is not true; where it is null the row stays."""
+    return df.where(f"not coalesce({condition}, false)")
+
+
+def update(df: DataFrame, column: str, value: str, condition: str) -> DataFrame:
+    """The rows with ``column`` set to an expression, in its own type, where ``condition`` is true."""
+    if column not in df.columns:
+        raise EngineError(f"Column {column} is not present")
+    kind = df.schema[column].dataType.simpleString()
+    new = f"case when {condition} then cast({value} as {kind}) else `{column}` end as `{column}`"
+    return df.selectExpr(*[new if c == column else f"`{c}`" for c in df.columns])

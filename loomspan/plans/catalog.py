@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.errors import EngineError
+from loomspan.functions.zorder import z_layout
 from loomspan.operators import changes
 from loomspan.operators import relational as rel
 from loomspan.operators.mdindex import MDIndex
 from loomspan.plans.sql import run_select
 from loomspan.session import table
-from loomspan.sources import generator
+from loomspan.sources import csv_io, generator
+from loomspan.streaming.incremental import new_since
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,18 +39,18 @@ def query(name: str, sql: str | None = None):
        from lineitem join orders on l_orderkey = o_orderkey where l_quantity > 25 group by o_orderpriority""",
 )
 def join_filter_groupby(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    return (
-        lines.where("l_quantity > 25")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_orderpriority")
-        .agg(
-            F.count("l_linenumber").alias("n_lines"),
-            F.sum("l_linenumber").alias("sum_line"),
-            F.min("l_quantity").alias("min_qty"),
-            F.max("l_quantity").alias("max_qty"),
-            F.expr("sum(l_linenumber) div count(l_linenumber)").alias("int_avg_line"),
-        )
+    lines = rel.filter_compare(table(spark, sf_dir, "lineitem"), "l_quantity", ">", 25)
+    joined = rel.join(lines, table(spark, sf_dir, "orders"), ("l_orderkey", "=", "o_orderkey"))
+    return rel.aggregate(
+        joined,
+        ["o_orderpriority"],
+        [
+            ("count", "l_linenumber", "n_lines"),
+            ("sum", "l_linenumber", "sum_line"),
+            ("min", "l_quantity", "min_qty"),
+            ("max", "l_quantity", "max_qty"),
+            ("avg", "l_linenumber", "int_avg_line"),
+        ],
     )
 
 
@@ -64,7 +67,7 @@ _simple(
 )
 for _name, _op in (("eq", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
     _simple(f"filter_{_name}", f"select * from part where p_size {_op} 25", lambda t, op=_op: rel.filter_compare(t("part"), "p_size", op, 25))
-_simple("filter_literal_left", "select * from part where 10 > p_size", lambda t: t("part").where(F.lit(10) > F.col("p_size")))
+_simple("filter_literal_left", "select * from part where 10 > p_size", lambda t: run_select("select * from part where 10 > p_size", t))
 _simple(
     "filter_string",
     "select * from customer where c_mktsegment = 'BUILDING'",
@@ -75,12 +78,12 @@ _simple("filter_true", "select * from region", lambda t: rel.filter_all(t("regio
 _simple(
     "filter_and",
     "select p_partkey, p_size from part where p_size > 10 and p_size <= 20 and p_partkey < 1000",
-    lambda t: t("part").where((F.col("p_size") > 10) & (F.col("p_size") <= 20) & (F.col("p_partkey") < 1000)).select("p_partkey", "p_size"),
+    lambda t: run_select("select p_partkey, p_size from part where p_size > 10 and p_size <= 20 and p_partkey < 1000", t),
 )
 _simple(
     "filter_or",
     "select p_partkey, p_size from part where p_size = 1 or p_size = 50 or (p_size > 20 and p_partkey < 50)",
-    lambda t: t("part").where((F.col("p_size") == 1) | (F.col("p_size") == 50) | ((F.col("p_size") > 20) & (F.col("p_partkey") < 50))).select("p_partkey", "p_size"),
+    lambda t: run_select("select p_partkey, p_size from part where p_size = 1 or p_size = 50 or (p_size > 20 and p_partkey < 50)", t),
 )
 _JOIN = "select o_orderkey, l_linenumber, o_totalprice, l_quantity from orders join lineitem on {} where o_totalprice > 100000"
 
@@ -172,7 +175,34 @@ def _lines(t: Callable[[str], DataFrame]) -> DataFrame:
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-_simple("md_eq_2d", "select * from part where p_size = 7 and p_partkey = 1", lambda t: MDIndex(t("part"), ["p_size", "p_partkey"]).eq((7, 1)))
+_AT = "select p_size, p_partkey from part where p_partkey = 1"
+
+
+def _at(t: Callable[[str], DataFrame]) -> tuple[int, int]:
+    """The point of the first part: one row comes to the driver."""
+    return tuple(t("part").where("p_partkey = 1").select("p_size", "p_partkey").first())
+
+
+_simple("md_eq_2d", f"select * from part where (p_size, p_partkey) in ({_AT})", lambda t: MDIndex(t("part"), ["p_size", "p_partkey"]).eq(_at(t)))
+_simple("md_eq_r", f"select * from part where (p_size, p_partkey) in ({_AT})", lambda t: MDIndex(t("part"), ["p_partkey", "p_size"], "R").eq(_at(t)[::-1]))
+_simple("md_eq_string", "select * from customer where c_mktsegment = 'BUILDING' and c_nationkey = 3", lambda t: MDIndex(t("customer"), ["c_mktsegment", "c_nationkey"]).eq(("BUILDING", 3)))
+_simple(
+    "md_range_string",
+    "select * from customer where c_mktsegment between 'B' and 'H' and c_nationkey between 3 and 9",
+    lambda t: MDIndex(t("customer"), ["c_mktsegment", "c_nationkey"]).range(("B", 3), ("H", 9)),
+)
+_simple(
+    "md_with_rows",
+    "select * from nation where n_nationkey between 2 and 30 union all select n_nationkey + 20, n_name, n_regionkey from nation where n_nationkey + 20 between 2 and 30",
+    lambda t: MDIndex(t("nation").select("n_nationkey", "n_name", "n_regionkey"), ["n_nationkey"])
+    .with_rows(t("nation").select((F.col("n_nationkey") + 20).cast("int").alias("n_nationkey"), "n_name", "n_regionkey"))
+    .range((2,), (30,)),
+)
+_simple(
+    "md_layout",
+    "select p_partkey, p_size from part where p_size between 10 and 20 and p_partkey between 50 and 900",
+    lambda t: MDIndex(z_layout(t("part").select("p_partkey", "p_size"), ["p_size", "p_partkey"], 8), ["p_size", "p_partkey"]).range((10, 50), (20, 900)),
+)
 _simple("md_eq_dups", "select * from part where p_size = 7", lambda t: MDIndex(t("part"), ["p_size"]).eq((7,)))
 _simple(
     "md_range_2d",
@@ -208,9 +238,18 @@ _simple(
 )
 _simple(
     "md_exists",
-    "select count(*) > 0 as found from part where p_size = 7 and p_partkey = 1",
-    lambda t: MDIndex(t("part"), ["p_size", "p_partkey"]).eq((7, 1)).limit(1).agg((F.count("*") > 0).alias("found")),
+    f"select (select count(*) > 0 from part where (p_size, p_partkey) in ({_AT})) as there, (select count(*) > 0 from part where p_size = -7 and p_partkey = 1) as missing",
+    lambda t: t("part").sparkSession.createDataFrame(
+        [(MDIndex(t("part"), ["p_size", "p_partkey"]).exists(_at(t)), MDIndex(t("part"), ["p_size", "p_partkey"]).exists((-7, 1)))], "there boolean, missing boolean"
+    ),
+)
+_simple("rows_deleted", "select * from part where not (p_size > 10 and p_partkey < 1000)", lambda t: rel.delete(t("part"), "p_size > 10 and p_partkey < 1000"))
+_simple(
+    "rows_updated",
+    "select n_nationkey, n_name, case when n_regionkey = 1 then n_regionkey + 10 else n_regionkey end as n_regionkey from nation",
+    lambda t: rel.update(t("nation").select("n_nationkey", "n_name", "n_regionkey"), "n_regionkey", "n_regionkey + 10", "n_regionkey = 1"),
 )
+_simple("in_memory_rows", "select * from (values (1, 'x'), (2, '')) as v(a, b)", lambda t: csv_io.from_rows(t("region").sparkSession, [(1, "x"), (2, "")], "a int, b string"))
 _simple("md_without", "select * from part where not (p_size = 7)", lambda t: MDIndex(t("part"), ["p_size"]).without((7,)))
 
 
@@ -243,4 +282,53 @@ _simple(
     _SQL.replace("avg(c.c_custkey)", "cast(sum(c.c_custkey) // count(c.c_custkey) as bigint)").replace("count(c.c_custkey) as", "cast(count(c.c_custkey) as bigint) as"),
     lambda t: run_select(_SQL, t),
 )
-QUERIES["generated_table"] = lambda spark, sf_dir: generator.generate(spark, 1000)
+_simple("changes_keys_upto", f"select distinct user_id from {_LOG} where ts <= 50", lambda t: changes.keys_upto(_log(t), ["user_id"], 50))
+_simple("changes_keys_between", f"select distinct user_id from {_LOG} where ts >= 100 and ts < 150", lambda t: changes.keys_between(_log(t), ["user_id"], 100, 150))
+_simple("changes_new_since", f"select * from {_LOG} where ts > 100 and ts <= 300", lambda t: new_since(_log(t), 100, 300))
+_simple(
+    "changes_add_delta",
+    f"select user_id, ts, op, event_type from {_LOG} union all select n_nationkey, 5000000, 'U', n_name from nation",
+    lambda t: changes.add_delta(_log(t), t("nation").select(F.col("n_nationkey").alias("user_id"), F.col("n_name").alias("event_type")), 5_000_000),
+)
+_simple("changes_last_update", f"select max(ts) as ts from {_LOG}", lambda t: t("events").sparkSession.createDataFrame([(changes.last_update(_log(t)),)], "ts bigint"))
+for _name, _text in {
+    "sql_wildcard": "select * from region",
+    "sql_self_join": "select x.n_name as one, y.n_name as two from nation as x join nation as y on x.n_regionkey = y.n_regionkey where x.n_nationkey < y.n_nationkey",
+    "sql_three_way": "select c.c_custkey, n.n_name, r.r_name from customer as c join nation as n on c.c_nationkey = n.n_nationkey join region as r on r.r_regionkey = n.n_regionkey where r.r_name <> 'ASIA'",
+    "sql_theta": "select n.n_nationkey, r.r_regionkey from nation as n join region as r on n.n_regionkey <= r.r_regionkey",
+}.items():
+    _simple(_name, _text, lambda t, q=_text: run_select(q, t))
+
+_REFUSE = (
+    "select distinct n_name from nation", "select n_name from nation order by n_name", "select n_name from nation limit 1", "select n_name from nation union select r_name from region",
+    "select count(*) from nation", "select n_name from nation, region", "select n_name from nation left join region on n_regionkey = r_regionkey", "select n_name from nation where n_nationkey in (1)",
+    "select n_name from nation where not n_nationkey = 1", "select n_name from nation where sum(n_nationkey) > 1", "select n_nationkey + 1 from nation", "select n_name, count(n_nationkey) from nation",
+    "select * from (select n_name from nation)", "with t as (select 1) select * from t", "insert into nation values (1)", "delete from nation", "select n_name from nation where n_name = 1", "select sum(n_name) from nation",
+)
+
+
+def _refused(t: Callable[[str], DataFrame]) -> DataFrame:
+    rows = []
+    for k, q in enumerate(_REFUSE):
+        try:
+            run_select(q, t)
+            rows.append((k, False))
+        except EngineError:
+            rows.append((k, True))
+    return t("nation").sparkSession.createDataFrame(rows, "statement int, refused boolean")
+
+
+_simple("sql_refusals", f"select cast(i as int) as statement, true as refused from range({len(_REFUSE)}) as r(i)", _refused)
+_simple(
+    "generated_table",
+    "select cast(1000 as bigint) as n, cast(10 as bigint) as c1, cast(100 as bigint) as c2, cast(10 as bigint) as d1, cast(100 as bigint) as d2, true as bounded",
+    lambda t: generator.generate(t("region").sparkSession, 1000).agg(
+        F.count("*").alias("n"), F.countDistinct("ia1").alias("c1"), F.countDistinct("ia2").alias("c2"), F.countDistinct("sa1").alias("d1"),
+        F.countDistinct("sa2").alias("d2"), ((F.max("ia4") < 10_000) & (F.min("ia1") >= 0) & (F.min(F.length("sa3")) >= 10) & (F.max(F.length("sa4")) <= 29)).alias("bounded"),
+    ),
+)
+_simple(
+    "random_ints",
+    "select cast(500 as bigint) as n, true as bounded",
+    lambda t: generator.random_ints(t("region").sparkSession, 2, 500).agg(F.count("*").alias("n"), ((F.min("f0") >= 0) & (F.max("f1") < 2147483647)).alias("bounded")),
+)

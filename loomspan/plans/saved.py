@@ -7,7 +7,7 @@ progress can not begin again.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from pathlib import Path
 
 from loomspan.errors import EngineError
@@ -44,6 +44,13 @@ class Registry:
         self.queries[name] = SavedQuery(name, self.read(path), path)
         return self.queries[name]
 
+    def dump(self) -> list[dict]:
+        """What is kept of the queries; a run does not outlive its process."""
+        return [asdict(q) | {"running": False} for q in self.queries.values()]
+
+    def load(self, kept: list[dict]) -> None:
+        self.queries = {q["name"]: SavedQuery(**q) for q in kept}
+
     def begin(self, name: str) -> SavedQuery:
         query = self.queries.get(name)
         if query is None:

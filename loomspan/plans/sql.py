@@ -59,7 +59,7 @@ class _Scope:
         if name in self.frames:
             raise EngineError(f"Table name {name} is used twice; give one an alias")
         self.types[name] = {f.name: f.dataType for f in df.schema}
-        self.frames[name] = df.select(*[F.col(c).alias(f"{name}__{c}") for c in df.columns])
+        self.frames[name] = df.select(*[F.col(c).alias(f"{name}.{c}") for c in df.columns])
         return self.frames[name]
 
     def resolve(self, parts: list[str]) -> tuple[str, str]:
@@ -93,7 +93,7 @@ class _Parser:
             raise EngineError("One statement at a time")
         if not self.rest:
             raise EngineError("Empty statement")
-        self.at = 0
+        self.at = self.literals = 0
 
     def peek(self) -> tuple[str, str]:
         return self.rest[self.at] if self.at < len(self.rest) else ("end", "")
@@ -225,7 +225,7 @@ class _Parser:
         return text
 
     def column(self, ref: tuple[str, str]) -> Column:
-        return F.col(f"{ref[0]}__{ref[1]}")
+        return F.col(f"`{ref[0]}.{ref[1]}`")
 
     @staticmethod
     def same_kind(a: T.DataType, b: T.DataType) -> None:
@@ -250,12 +250,17 @@ class _Parser:
             self.need(")")
             return out
         (left, a), op, (right, b) = self.operand(), self.operator(), self.operand()
+        if self.literals == 2:
+            raise EngineError("A test needs a column")
+        self.literals = 0
         self.same_kind(a, b)
         return compare(left, op, right)
 
     def operand(self) -> tuple[Column, T.DataType]:
         sign = -1 if self.take("-") else 1
         kind, text = self.peek()
+        if kind == "num" or kind == "str" and sign == 1:
+            self.literals += 1
         if kind == "num":
             self.next()
             return F.lit(sign * int(text)), T.IntegerType()

@@ -41,3 +41,14 @@ def test_stream_runs_each_file_once(spark, tmp_path):
 def test_windowed_counts(spark):
     df = spark.sql("select timestamp'2024-01-01 00:00:01' ts, 'x' k union all select timestamp'2024-01-01 00:07:01', 'x'")
     assert [r["n"] for r in incremental.windowed_counts(df, "ts", "k", "5 minutes", "1 minute").orderBy("start").collect()] == [1, 1]
+
+
+def test_keys_deltas_and_outdated_logs(spark):
+    log = spark.createDataFrame(LOG, KIND)
+    assert rows(changes.keys_upto(log, ["key"], 2)) == [("k1",), ("k2",)]
+    assert rows(changes.keys_between(log, ["key"], 3, 5)) == [("k1",), ("k2",)]
+    more = changes.add_delta(log, spark.createDataFrame([("k3",), ("k9",)], "key string"), 7, "D")
+    more = changes.add_delta(more, spark.createDataFrame([("k4", "e")], "key string, value string"), 8)
+    assert rows(changes.as_of(more, ["key"], 9)) == [("k1", 3, "b"), ("k4", 8, "e")]
+    assert rows(changes.read_key(more, {"key": "k3"}, 6)) == [("k3", 5, "U", "d")] and changes.read_key(more, {"key": "k7"}, 9).count() == 0
+    assert changes.outdated({"old": log, "new": more, "none": log.where("false")}, 8) == ["old"]

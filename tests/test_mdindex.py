@@ -107,3 +107,26 @@ def test_refusals(tree5, spark):
         with pytest.raises(EngineError):
             f()
     assert MDIndex(words, ["s"]).eq(("a",)).count() == 1
+
+
+def test_knn_join_matches_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    data = [(rng.randrange(12), rng.randrange(12), rng.choice(["a", "b", None]), i) for i in range(400)] + [(None, 1, "z", 900)]
+    df = spark.createDataFrame(data, "x int, y int, s string, i int").repartition(5)
+    points = [(p, rng.randrange(-3, 15), rng.randrange(-3, 15)) for p in range(25)] + [(99, None, 3)]
+    given = spark.createDataFrame(points, "point_id int, x int, y int")
+    expected = []
+    for p, px, py in points:
+        if px is None:
+            continue
+        near = sorted(((x - px) ** 2 + (y - py) ** 2, x, y, s is not None, s or "", i) for x, y, s, i in data if x is not None)[:7]
+        expected += [(p, r + 1, d, x, y, i) for r, (d, x, y, _, _, i) in enumerate(near)]
+    for bound in (10_000, 4):
+        found = MDIndex(df, ["x", "y"]).knn_join(given, 7, bound=bound).select("point_id", "rank", "d2", "x", "y", "i")
+        assert sorted(map(tuple, found.collect())) == sorted(expected)
+    assert MDIndex(df, ["x", "y"]).knn_join(given.where("false"), 3).count() == 0
+    assert MDIndex(df.where("false"), ["x", "y"]).knn_join(given, 3).count() == 0
+    halves = df.selectExpr("x / 2.0d as x", "i")
+    assert MDIndex(halves, ["x"]).knn_join(spark.createDataFrame([(1, 0.25)], "point_id int, x double"), 1).first()["d2"] == 0.0625

@@ -157,3 +157,75 @@ def test_generator(spark, engine, tmp_path):
     with pytest.raises(EngineError):
         engine.run(f"\\generate {tmp_path}/g 20")
     assert generator.random_ints(spark, 2, 10).where("f0 < 0").count() == 0
+
+
+def test_short_and_long_records(engine, tmp_path):
+    engine.run("create table s (a int primary key, b varchar(9), c varchar(9))")
+    (tmp_path / "ok.csv").write_text('1,,\n2,x,y,z,more\n3,"q,r",\n4,"",""\n')
+    engine.import_csv(f"{tmp_path}/ok.csv", "s")
+    assert sorted(engine.run("select * from s").split("\n")) == ["1,,", "2,x,y", "3,q,r,", "4,,"]
+    (tmp_path / "short.csv").write_text('5,a,b\n6\n7,x\n8,"a,b"\nx,a,b\n')
+    with pytest.raises(Exception, match="Malformed record"):
+        engine.import_csv(f"{tmp_path}/short.csv", "s")
+    engine.import_csv(f"{tmp_path}/short.csv", "s", skip_malformed=True)
+    assert sorted(engine.run("select a from s where a > 4").split("\n")) == ["5"]
+
+
+def test_state_outlives_the_engine(engine, spark, tmp_path):
+    engine.run("create table t (a int primary key, b int)")
+    engine.insert("t", [(1, 2), (3, 4)])
+    engine.run("\\createIndex KD ind t (a,b)")
+    engine.run(f"\\convert {tmp_path}/q.json | select a from t")
+    engine.run(f"\\register {tmp_path}/q.json q")
+    engine.run("\\runFull q")
+    spark.sql("drop table if exists loomspan_gone")
+    again = Engine(spark)
+    again.run("\\c loomspan_test")
+    assert again.version == engine.version == 1 and again.saved.queries["q"].watermark == 1
+    assert again.run("\\useIndex KD EQ ind t (3,4)") == "3,4"
+    again.insert("t", [(5, 6)])
+    assert again.run("\\runPartial q") == "5" and again.run("\\runPartial q cache 0 1") in ("1\n3", "3\n1")
+    assert again.run("\\runPartial q") == ""
+    again.run("\\close")
+    assert spark.catalog.currentDatabase() == "default"
+    again.reset()
+    assert not spark.catalog.databaseExists("loomspan_test") and Engine(spark).version == 0
+    engine.made = []
+
+
+def test_forgotten_tables_are_declared_again(engine, spark):
+    from loomspan.plans.state import warehouse
+
+    engine.run("create table f (a int primary key, b varchar(3))")
+    engine.insert("f", [(1, "x")])
+    schema = spark.table("f").schema
+    path = f"{warehouse(spark)}/loomspan_test.db/f"
+    rows = spark.table("f").collect()
+    spark.sql("drop table f")
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    again = Engine(spark)
+    again.run("\\c loomspan_test")
+    assert again.run("select * from f") == "1,x"
+
+
+def test_views_and_updates(engine):
+    engine.run("create table t (a int primary key, b int)")
+    engine.insert("t", [(1, 2), (1, 3), (2, 5)])
+    engine.materialize("v", "select a, sum(b) as s from t group by a")
+    assert engine.outdated() == [] and not engine.refresh("v")
+    engine.update("t", "b", "b * 10", "a = 2")
+    engine.delete("t", "b = 3")
+    assert engine.outdated() == ["v"] and engine.refresh("v") and engine.outdated() == []
+    assert sorted(engine.run("select * from v").split("\n")) == ["1,2", "2,50"]
+    assert engine.table("t").schema["a"].metadata["constraint"] == "PrimaryKey"
+    with pytest.raises(EngineError):
+        engine.refresh("t")
+
+
+def test_names_that_look_joined_do_not_collide(spark):
+    one = spark.createDataFrame([(1, 2)], "b__c int, k int")
+    two = spark.createDataFrame([(3, 2)], "c int, k int")
+    get = {"a": one, "a__b": two}.__getitem__
+    assert rows(run_select("select b__c, c from a join a__b on a.k = a__b.k", get)) == [(1, 3)]
+    with pytest.raises(EngineError):
+        run_select("select c from a where 1 = 1", get)
