@@ -83,6 +83,7 @@ def test_create_table_rules():
 
 @pytest.fixture
 def engine(spark):
+    Engine(spark).reset()  # what an earlier run left in the warehouse
     made = Engine(spark)
     made.run("\\r loomspan_test")
     made.run("\\c loomspan_test")
