@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -414,6 +415,40 @@ def test_licences_of_wrapped_and_dual_notices():
     assert [f[0] for f in lesser if f[4]] == ["LGPL"]
 
 
+REWORDED = {
+    "MIT": ("You may use this code under the MIT license.", "The library is distributed under the terms of the MIT license, see LICENSE for details."),
+    "Apache-2.0": ("This code is made available under the Apache License, Version 2.0.", "Distributed under the Apache 2.0 license, a copy is in LICENSE."),
+    "GPL": ("The sources are published under the GNU General Public License, version 2 or later.",),
+    "BSD": ("The module is available under the BSD 3-Clause License.", "Our code is released under the BSD license too."),
+    "CC-BY": ("The text is licensed under a Creative Commons Attribution 4.0 International License.",),
+    "CC-BY-SA": ("Text and images are licensed under CC BY-SA 4.0 unless noted.",),
+    "MPL": ("Files here are subject to the terms of the Mozilla Public License, v. 2.0.",),
+}
+
+
+def test_licences_in_words_of_their_own_and_whole_bodies():
+    for family, texts in REWORDED.items():
+        for text in texts:
+            assert {f[0] for f in license_scan.find(text) if f[4]} == {family}, text
+    body = "\n\n".join(license_scan.TEMPLATES["MIT"][5:])
+    wrapped = re.sub(r"(.{40,70}) ", r"\1\n", body)
+    assert [f[0] for f in license_scan.find(wrapped) if f[4]] == ["MIT"] * 3
+    both = license_scan.find("Dual licensed under the MIT License or the BSD 3-Clause License.")
+    assert [f[0] for f in both if f[4]] == ["MIT", "BSD"]
+    filler = " ".join(f"word{i}" for i in range(3000))  # a long line is judged like a short one
+    found = [f for f in license_scan.find(f"{filler} released under the MIT License. {filler}") if f[4]]
+    assert [(f[0], f[1]) for f in found] == [("MIT", len(filler) + 1)]
+    assert not [f for f in license_scan.find("The film was released under the title of license to the public.") if f[4]]
+
+
+def test_licence_anchors_lose_nothing():
+    """What holds CONFIRM of a template's n-grams holds one of its anchors, so paragraphs without any need no judgement."""
+    model = license_scan.classifier()
+    for _, grams in model.marks:
+        bare = [g for g in grams if not any(p in model.anchors for p in itertools.pairwise(g.split()))]
+        assert len(bare) < license_scan.CONFIRM * len(grams)
+
+
 def test_urls_resolve_targets(spark):
     base = "http://a/b/c/d;p?q"  # the examples of RFC 3986 5.4, without fragments
     for ref, to in {
