@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _OWN_FOLDER: dict[str, str] = {}
+#: Rows of one key that a task of a join takes without more ado, and the most keys that are broadcast because they have more.
+HOT_ROWS = 1_000_000
+HOT_KEYS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,3 +95,21 @@ def sha_hex(data: bytes) -> str:
 def row_count_at_most(df: DataFrame, bound: int) -> bool:
     """Whether ``df`` has at most ``bound`` rows; looks at ``bound + 1`` rows at most."""
     return df.limit(bound + 1).count() <= bound
+
+
+def join_hot(large: DataFrame, small: DataFrame, keys: list[str], rows: int, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``large``, of ``rows`` rows, with ``small``, whatever rows of ``large`` share a key.
+
+    ``small`` has one row per key and in ``n`` how many rows of ``large`` have that key;
+    ``n`` is not returned. Keys of ``HOT_ROWS`` rows, or a ``HOT_KEYS``-th of all, are broadcast, so their
+    rows stay where they are: there are ``HOT_KEYS`` such keys at most. All others meet by a shuffle.
+    """
+    if rows < HOT_ROWS:  # no key can have so many
+        return large.join(small.drop("n"), keys, how)
+    bound = max(HOT_ROWS, -(-rows // HOT_KEYS))
+    values = [c for c in small.columns if c not in keys and c != "n"]
+    hot = small.where(F.col("n") >= bound).select(*keys, F.struct(*values).alias("_hot"))
+    marked = large.join(F.broadcast(hot), keys, "left")
+    near = marked.where("_hot is not null").select(*large.columns, *[F.col(f"_hot.{v}").alias(v) for v in values])
+    rest = marked.where("_hot is null").select(*large.columns)
+    return near.unionByName(rest.join(small.where(F.col("n") < bound).drop("n"), keys, how))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, row_count_at_most
+from loomspan.llm.common import Scratch, join_hot, row_count_at_most
 from loomspan.llm.components import connected_components
 
 CHUNK = 5
@@ -362,14 +362,17 @@ def _compared(
     named = named.select("node", "cluster", F.coalesce("component", "node").alias("comp"), "size")
     # One row per component that fills a block, and one (own null) for all smaller ones of a cluster.
     own = F.when(F.col("size") > BLOCK_SHINGLES, F.col("comp")).alias("own")
-    parts = named.groupBy("cluster", "comp").agg(F.sum("size").alias("size")).groupBy("cluster", own)
-    parts = parts.agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("n"))
+    # A hot cluster or component may hold most of the nodes: counted beforehand, its row is broadcast.
+    parts = named.groupBy("cluster", "comp").agg(F.sum("size").alias("size"), F.count("*").alias("nodes")).groupBy("cluster", own)
+    parts = parts.agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("n"), F.sum("nodes").alias("nodes"))
     whole = Window.partitionBy("cluster")
     parts = parts.withColumn("first", (F.sum("n").over(whole.orderBy("own")) - F.col("n")).cast("int"))
     parts = parts.withColumn("blocks", F.sum("n").over(whole).cast("int"))
-    large = parts.where("own is not null").select("cluster", F.col("own").alias("comp"), F.struct("n", "first", "blocks").alias("part"))
-    rest = parts.where("own is null").select("cluster", F.struct("n", "first", "blocks").alias("others"))
-    placed = named.join(large, ["cluster", "comp"], "left").join(rest, "cluster", "left")
+    parts = parts.select("cluster", "own", F.struct("n", "first", "blocks").alias("part"), F.col("nodes").alias("n"), F.sum("nodes").over(whole).alias("all"))
+    large = parts.where("own is not null").select("cluster", F.col("own").alias("comp"), "part", "n")
+    rest = parts.where("own is null").select("cluster", F.col("part").alias("others"), F.col("all").alias("n"))
+    nodes = crowd.count()
+    placed = join_hot(join_hot(named, large, ["cluster", "comp"], nodes, "left"), rest, ["cluster"], nodes, "left")
     placed = placed.select("node", "cluster", "comp", F.col("part").isNotNull().alias("own"), F.coalesce("part", "others").alias("p"))
     block = (F.col("p.first") + F.pmod(F.xxhash64("node"), F.col("p.n"))).cast("int")
     beside = F.filter(

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, ascii_lower
+from loomspan.llm.common import Scratch, ascii_lower, join_hot
 from loomspan.llm.components import connected_components
 
 #: (verdict, host/path prefix) of the registered query.
@@ -161,15 +161,12 @@ def judge(pages: DataFrame, scratch: Scratch, rules: tuple[tuple[str, str], ...]
     ends = edges.select(F.explode(F.array("from_url", "to_url")).alias("url")).distinct()
     graph = edges.select(_node(F.col("from_url")).alias("u"), _node(F.col("to_url")).alias("v"))
     component = connected_components(graph, scratch)
-    placed = with_rules(ends.select(_node(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules)
-    blocked = (
-        component.join(placed.where("ruled is not null"), "node")
-        .groupBy("component")
-        .agg(F.max(F.col("ruled") == "allow").alias("allowed"))
-        .where("not allowed")
-        .join(component, "component")
-        .select("node", F.lit(True).alias("alias_blocked"))
-    )
+    # A node fixes its host and path, so it is listed once, however many URLs differ in scheme or fragment only.
+    nodes = ends.select(_node(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).distinct()
+    said = component.join(with_rules(nodes, rules).where("ruled is not null"), "node").groupBy("component").agg(F.max(F.col("ruled") == "allow").alias("allowed"))
+    sizes = component.groupBy("component").agg(F.count("*").alias("n"))
+    blocked = join_hot(component, said.where("not allowed").join(sizes, "component"), ["component"], component.count())
+    blocked = blocked.select("node", F.lit(True).alias("alias_blocked"))
     own = pages.select("page_id", _node(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     verdict = F.coalesce("ruled", F.when(F.col("alias_blocked"), F.lit("block")), F.lit("allow"))
     # A null node matches nothing; a key of its own spreads such rows over the tasks of the join.

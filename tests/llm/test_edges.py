@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.llm import exact_dedup, html_extract, license_scan, secret_scan, token_output, toxicity, url_filter
+from loomspan.llm import common, exact_dedup, html_extract, license_scan, secret_scan, token_output, toxicity, url_filter
 from loomspan.llm.bpe_stream import encode_decode_digests
 from loomspan.llm.common import Scratch
 from loomspan.llm.cuckoo import CuckooIndex
@@ -217,7 +217,9 @@ def test_label_model_matches_plain_em():
     assert np.abs(post - p).max() < 1e-3 and np.abs(rate1 - r1).max() < 1e-4 and ((post > 0.5) == truth).mean() > 0.93
 
 
-def test_url_verdicts_match_the_sql(spark):
+@pytest.mark.parametrize("hot", [1_000_000, 2])
+def test_url_verdicts_match_the_sql(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     duckdb = pytest.importorskip("duckdb")
     rng = random.Random(13)
     urls = [f"{s}://{h}{p}" for s in ("http", "https") for h in ("a.example.org", "example.org", "x.com", "plain.net", "Alias.NET") for p in ("/es/1", "/en/12", "/de/1?x", "/fr/2#z", "", "/p")]

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from loomspan.llm import neardup
+from loomspan.llm import common, neardup
 from loomspan.llm.common import Scratch
 
 
@@ -80,8 +80,9 @@ def test_crowded_buckets_match_brute_force(spark, monkeypatch):
     assert made
 
 
-@pytest.mark.parametrize("block", [300, 2000, 200_000])
-def test_large_buckets_match_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(300, 1_000_000), (300, 4), (2000, 4), (200_000, 1_000_000)])
+def test_large_buckets_match_brute_force(spark, monkeypatch, block, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     texts = family(6, 70, 80, 12) + family(7, 50, 80, 5) + family(8, 20, 400, 60)
     rows = list(enumerate(texts))
     monkeypatch.setattr(neardup, "BUCKET_ROWS", 2)

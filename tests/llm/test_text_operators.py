@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from loomspan.llm import exact_dedup, html_extract, license_scan, secret_scan, token_output, toxicity, url_filter
+from loomspan.llm import common, exact_dedup, html_extract, license_scan, secret_scan, token_output, toxicity, url_filter
 from loomspan.llm.bpe_stream import ByteTransducer, Merges, Transducer, decode, encode, encode_decode_digests, encode_text
 from loomspan.llm.common import Scratch
 from loomspan.llm.components import connected_components
@@ -277,7 +277,9 @@ def test_toxicity_on_held_out_rows(spark, docs):
     assert toxicity.score(empty(docs), toxicity.fit(df, marks.where("false"), Scratch(spark, "t"))).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [1_000_000, 3])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rng = random.Random(8)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(i, i + 1) for i in range(200, 240)] + [(300, i) for i in range(301, 330)] + [(1, None), (5, 5)]
     at = {}
